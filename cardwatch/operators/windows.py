@@ -19,13 +19,10 @@ Both use windows whose partitioning contains (user, segment): one shuffle in all
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cardwatch.config import Config
-from cardwatch.functions import features as X
-from cardwatch.operators.segments import WORK, segmented, with_lateness_columns
+from cardwatch.operators.segments import segmented, with_lateness_columns
 
 STORE_FEATURES = (
     "velocity_60s",
@@ -35,7 +32,6 @@ STORE_FEATURES = (
     "inter_arrival_ms",
     "oo_order_flag",
 )
-_DERIVED = ("_prev", "_run", "_late", "_severe", "_held")
 _FAN = 16
 
 
@@ -83,12 +79,8 @@ def store_features(
     rows = with_lateness_columns(segmented(tx, cfg, key, order), cfg, key, order)
     payload = [c for c in tx.columns if c not in (key, order)]
     wide_enough = min(cfg.short_buckets, cfg.long_buckets) >= 2 * cfg.late_buckets
-    fast = (
-        (F.col("_bucket") == F.col("_run")) & (F.col("_low") > 0)
-        if wide_enough
-        else F.lit(False)
-    )
-    rows = rows.withColumn("_fast", F.col("_real") & fast)
+    fast = "_real AND _bucket = _run AND _low > 0" if wide_enough else "false"
+    rows = rows.withColumn("_fast", F.expr(fast))
     parts = [_by_tree(rows, cfg, key, order, payload)]
     if wide_enough:
         parts.append(_by_cells(rows, cfg, key, order, payload))
@@ -97,10 +89,9 @@ def store_features(
 
 
 def _gap_and_flag() -> dict[str, Column]:
-    known = (F.col("_prev") > 0) & (F.col("_time") >= F.col("_prev"))
-    gap = F.when(known, F.col("_time") - F.col("_prev")).otherwise(F.lit(0))
+    gap = "CASE WHEN _prev > 0 AND _time >= _prev THEN _time - _prev ELSE 0 END"
     return {
-        "inter_arrival_ms": gap.cast("double"),
+        "inter_arrival_ms": F.expr(gap).cast("double"),
         "oo_order_flag": F.col("_late").cast("double"),
     }
 
@@ -110,7 +101,7 @@ def _by_cells(
 ) -> DataFrame:
     """Rows on time."""
     rows = rows.withColumns(_gap_and_flag())
-    keep = [c for c in payload if c in rows.columns] + ["inter_arrival_ms", "oo_order_flag"]
+    keep = [*payload, "inter_arrival_ms", "oo_order_flag"]
     for name, width in (
         ("300s", cfg.long_buckets),
         ("60s", min(cfg.short_buckets, cfg.long_buckets)),
@@ -124,62 +115,50 @@ def _add_window(
     rows: DataFrame, cfg: Config, key: str, order: str, width: int, name: str, keep: list[str]
 ) -> DataFrame:
     reach = width - cfg.late_buckets
-    n = F.when(F.col("_held"), F.col("_n"))
-    s = F.when(F.col("_held"), F.col("_sum"))
-
-    rows = rows.withColumn("_cell", X.floor_div(F.col("_run"), reach))
     own = (
         Window.partitionBy(key, "_segment", "_cell")
         .orderBy(order)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    rows = rows.withColumns({"_own_n": F.sum(n).over(own), "_own_s": F.sum(s).over(own)})
-
-    # The row itself, asking at its own bucket, and what it adds to the next two
-    # cells until its bucket leaves the window.
-    expires = F.col("_bucket") + (width - 1)
-    itself = F.array(_entry(F.col("_cell"), F.col("_run"), F.lit(0), F.lit(0.0), True))
-    one = F.array(_entry(F.col("_cell") + 1, expires, n, s, False))
-    two = F.array(_entry(F.col("_cell") + 2, expires, n, s, False))
-    adds_one = F.col("_held") & (expires >= (F.col("_cell") + 1) * reach)
-    adds_two = F.col("_held") & (expires >= (F.col("_cell") + 2) * reach)
-    none = F.array().cast(_ENTRIES)
-    entries = F.concat(
-        itself, F.when(adds_one, one).otherwise(none), F.when(adds_two, two).otherwise(none)
+    rows = rows.withColumn("_cell", F.expr(_floor_div("_run", reach))).withColumns(
+        {
+            "_own_n": F.sum(F.expr("CASE WHEN _held THEN _n END")).over(own),
+            "_own_s": F.sum(F.expr("CASE WHEN _held THEN _sum END")).over(own),
+        }
     )
-    internal = [c for c in (*WORK, *_DERIVED, "_fast", "_own_n", "_own_s") if c in rows.columns]
-    exploded = rows.select(
-        key, order, *keep, *internal, F.inline(entries).alias("_at_cell", "_at", "_in", "_is", "_ask")
+
+    # Each row asks at its own bucket, and adds to the next two cells until its
+    # bucket leaves the window.
+    def adds(ahead: int) -> str:
+        cell, expires = f"_cell + {ahead}", f"_bucket + {width - 1}"
+        return (
+            f"CASE WHEN _held AND {expires} >= ({cell}) * {reach} THEN "
+            f"named_struct('cell', {cell}, 'at', {expires}, 'n', _n, 's', _sum, 'ask', false) END"
+        )
+
+    asks = "named_struct('cell', _cell, 'at', _run, 'n', 0L, 's', 0D, 'ask', true)"
+    entries = F.expr(f"filter(array({asks}, {adds(1)}, {adds(2)}), e -> e IS NOT NULL)")
+    carried = ("_bucket", "_run", "_n", "_sum", "_held", "_segment", "_fast", "_own_n", "_own_s")
+    entry = ("_at_cell", "_at", "_in", "_is", "_ask")
+    exploded = rows.select(key, order, *keep, *carried, F.inline(entries).alias(*entry))
+    # What only the row itself needs is not copied.
+    exploded = exploded.selectExpr(
+        key, order, *carried, *entry, *[f"CASE WHEN _ask THEN {c} END AS {c}" for c in keep]
     )
-    exploded = exploded.withColumns({c: F.when(F.col("_ask"), F.col(c)) for c in keep})
     expiry = Window.partitionBy(key, "_segment", "_at_cell").orderBy(F.desc("_at"))
-    zero, none_s = F.lit(0), F.lit(0.0)
     return (
-        exploded.withColumns({"_old_n": F.sum("_in").over(expiry), "_old_s": F.sum("_is").over(expiry)})
+        exploded.withColumns(
+            {"_old_n": F.sum("_in").over(expiry), "_old_s": F.sum("_is").over(expiry)}
+        )
         .filter("_ask")
-        .withColumns(
-            {
-                f"velocity_{name}": (
-                    F.coalesce("_own_n", zero) + F.coalesce("_old_n", zero)
-                ).cast("double"),
-                f"amount_sum_{name}": F.coalesce("_own_s", none_s)
-                + F.coalesce("_old_s", none_s),
-            }
+        .selectExpr(
+            key,
+            order,
+            *keep,
+            *[c for c in carried if not c.startswith("_own")],
+            f"CAST(coalesce(_own_n, 0L) + coalesce(_old_n, 0L) AS double) AS velocity_{name}",
+            f"coalesce(_own_s, 0D) + coalesce(_old_s, 0D) AS amount_sum_{name}",
         )
-        .drop("_own_n", "_own_s", "_old_n", "_old_s", "_at_cell", "_at", "_in", "_is", "_ask")
-    )
-
-
-_ENTRIES = "array<struct<cell:bigint,at:bigint,n:bigint,s:double,ask:boolean>>"
-
-
-def _entry(cell: Column, at: Column, n: Column, s: Column, ask: bool) -> Column:
-    return F.struct(
-        cell.cast("long").alias("cell"),
-        at.cast("long").alias("at"),
-        n.cast("long").alias("n"),
-        s.cast("double").alias("s"),
-        F.lit(ask).alias("ask"),
     )
 
 
@@ -196,89 +175,80 @@ def _by_tree(
         .orderBy(order)
         .rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     )
-    asks = F.col("_real") & ~F.col("_fast")
-    rows = rows.withColumn("_asked", F.max(asks).over(whole)).filter("_asked")
-
-    oldest = F.col("_run") - (cfg.long_buckets - 1)
-    oldest_short = F.greatest(F.col("_bucket") - (cfg.short_buckets - 1), oldest)
-    adds = F.array(
-        *[_block(w, X.floor_div(F.col("_bucket"), w), F.col("_n"), F.col("_sum"), None) for w in levels]
+    keep = [*payload, "inter_arrival_ms", "oo_order_flag"]
+    rows = (
+        rows.withColumns({**_gap_and_flag(), "_asks": F.expr("_real AND NOT _fast")})
+        .withColumn("_asked", F.max("_asks").over(whole))
+        .filter("_asked")
+        .withColumn("_old300s", F.expr(f"_run - {cfg.long_buckets - 1}"))
+        .withColumn("_old60s", F.expr(f"greatest(_bucket - {cfg.short_buckets - 1}, _old300s)"))
     )
-    itself = F.array(_block(0, F.lit(0), F.lit(0), F.lit(0.0), "row"))
-    probes = [
-        F.transform(nodes, _question(w, name))
-        for name, lo in (("60s", oldest_short), ("300s", oldest))
-        for w, nodes in _cover(lo, F.col("_bucket"), levels)
+
+    def block(level: int, node: str, n: str, s: str, ask: str) -> str:
+        return (
+            f"named_struct('level', {level}, 'node', {node}, 'n', {n}, 's', {s}, "
+            f"'ask', CAST({ask} AS string))"
+        )
+
+    adds = [block(w, _floor_div("_bucket", w), "_n", "_sum", "NULL") for w in levels]
+    asks = [f"array({block(0, '0L', '0L', '0D', repr('row'))})"] + [
+        f"transform({nodes}, node -> {block(w, 'node', '0L', '0D', repr(name))})"
+        for name in ("60s", "300s")
+        for w, nodes in _cover(f"_old{name}", "_bucket", levels)
     ]
-    none = F.array().cast(_BLOCKS)
-    blocks = F.concat(
-        F.when(F.col("_held"), adds).otherwise(none),
-        F.when(asks, F.concat(itself, *probes)).otherwise(none),
+    blocks = F.expr(
+        f"concat(CASE WHEN _held THEN array({', '.join(adds)}) ELSE array() END, "
+        f"CASE WHEN _asks THEN concat({', '.join(asks)}) ELSE array() END)"
     )
-    rows = rows.withColumns(_gap_and_flag())
-    keep = [*payload, "inter_arrival_ms", "oo_order_flag"]
-    exploded = rows.select(
-        key, order, "_segment", *keep, F.inline(blocks).alias("_level", "_node", "_in", "_is", "_ask")
+    entry = ("_level", "_node", "_in", "_is", "_ask")
+    exploded = rows.select(key, order, "_segment", *keep, F.inline(blocks).alias(*entry)).selectExpr(
+        key, order, "_segment", *entry, *[f"CASE WHEN _ask = 'row' THEN {c} END AS {c}" for c in keep]
     )
-    is_row = F.col("_ask") == "row"
-    exploded = exploded.withColumns({c: F.when(is_row, F.col(c)) for c in keep})
 
     # A row's questions sort before its own weight, so it does not see itself.
     seen = (
         Window.partitionBy(key, "_segment", "_level", "_node")
-        .orderBy(order, F.col("_ask").isNull())
+        .orderBy(order, F.expr("_ask IS NULL"))
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    asked = exploded.withColumns(
-        {"_seen_n": F.sum("_in").over(seen), "_seen_s": F.sum("_is").over(seen)}
-    ).filter(F.col("_ask").isNotNull())
     mine = Window.partitionBy(key, "_segment", order)
     totals = {}
     for name in ("60s", "300s"):
-        mark = F.col("_ask") == name
-        count = F.sum(F.when(mark, F.col("_seen_n"))).over(mine)
-        amount = F.sum(F.when(mark, F.col("_seen_s"))).over(mine)
-        totals[f"velocity_{name}"] = F.coalesce(count, F.lit(0)).cast("double")
-        totals[f"amount_sum_{name}"] = F.coalesce(amount, F.lit(0.0))
-    return asked.withColumns(totals).filter(is_row)
-
-
-_BLOCKS = "array<struct<level:bigint,node:bigint,n:bigint,s:double,ask:string>>"
-
-
-def _block(level: int, node: Column, n: Column, s: Column, ask: str | None) -> Column:
-    return F.struct(
-        F.lit(level).cast("long").alias("level"),
-        node.cast("long").alias("node"),
-        n.cast("long").alias("n"),
-        s.cast("double").alias("s"),
-        F.lit(ask).cast("string").alias("ask"),
+        for total, source in ((f"velocity_{name}", "_seen_n"), (f"amount_sum_{name}", "_seen_s")):
+            totals[total] = F.coalesce(
+                F.sum(F.expr(f"CASE WHEN _ask = '{name}' THEN {source} END")).over(mine).cast("double"),
+                F.lit(0.0),
+            )
+    return (
+        exploded.withColumns({"_seen_n": F.sum("_in").over(seen), "_seen_s": F.sum("_is").over(seen)})
+        .filter("_ask IS NOT NULL")
+        .withColumns(totals)
+        .filter("_ask = 'row'")
     )
 
 
-def _question(level: int, name: str) -> Callable[[Column], Column]:
-    return lambda node: _block(level, node, F.lit(0), F.lit(0.0), name)
+def _cover(lo: str, hi: str, levels: list[int]) -> list[tuple[int, str]]:
+    """Blocks that together make up [lo, hi]: whole big ones first, then the edges."""
 
+    def whole_blocks(w: int) -> tuple[str, str]:
+        return _floor_div(f"{lo} + {w - 1}", w), f"{_floor_div(f'{hi} + 1', w)} - 1"
 
-def _cover(lo: Column, hi: Column, levels: list[int]) -> list[tuple[int, Column]]:
-    """Blocks that together make up [lo, hi]: whole big ones first, then the edges."""
     out = []
     for i, w in enumerate(levels):
-        first = X.floor_div(lo + (w - 1), w)
-        last = X.floor_div(hi + 1, w) - 1
+        first, last = whole_blocks(w)
         nodes = _span(first, last)
         if i + 1 < len(levels):
-            big = levels[i + 1]
-            big_first = X.floor_div(lo + (big - 1), big)
-            big_last = X.floor_div(hi + 1, big) - 1
-            edges = F.concat(
-                _span(first, big_first * _FAN - 1), _span((big_last + 1) * _FAN, last)
-            )
-            nodes = F.when(big_first <= big_last, edges).otherwise(nodes)
+            big_first, big_last = whole_blocks(levels[i + 1])
+            left = _span(first, f"({big_first}) * {_FAN} - 1")
+            right = _span(f"({big_last} + 1) * {_FAN}", last)
+            nodes = f"CASE WHEN {big_first} <= {big_last} THEN concat({left}, {right}) ELSE {nodes} END"
         out.append((w, nodes))
     return out
 
 
-def _span(first: Column, last: Column) -> Column:
-    none = F.array().cast("array<bigint>")
-    return F.when(first <= last, F.sequence(first, last)).otherwise(none)
+def _span(first: str, last: str) -> str:
+    return f"CASE WHEN {first} <= {last} THEN sequence({first}, {last}) ELSE array() END"
+
+
+def _floor_div(x: str, width: int) -> str:
+    return f"(({x}) - pmod({x}, {width}L)) div {width}L"
