@@ -50,11 +50,15 @@ def default_models() -> Models:
     )
 
 
+# The bias is a weight on a feature that every row has with value 1.
+BIAS = "(bias)"
+
+
 def weights_table(spark: SparkSession, models: Models) -> DataFrame:
-    """Weights as rows (model, bias, feature, weight), one per model term."""
+    """Weights as rows (model, feature, weight)."""
     rows = [
-        (m.name, m.bias, feature, weight)
+        (m.name, feature, weight)
         for m in (models.l1, models.l2)
-        for feature, weight in m.weights
+        for feature, weight in ((BIAS, m.bias), *m.weights)
     ]
-    return spark.createDataFrame(rows, "model string, bias double, feature string, weight double")
+    return spark.createDataFrame(rows, "model string, feature string, weight double")

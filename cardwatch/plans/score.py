@@ -33,7 +33,7 @@ def scored_features(
     tx: DataFrame, models: Models | None = None, cfg: Config = Config()
 ) -> DataFrame:
     """Every transaction with features, both scores, route, decision and evidence."""
-    features = store_features(_slim(with_row_features(tx)), cfg)
+    features = store_features(slim(with_row_features(tx)), cfg)
     return with_scores(features, models or default_models(), cfg)
 
 
@@ -63,7 +63,7 @@ def scored_record(scored: DataFrame, repeatable_ids: bool = False) -> DataFrame:
     )
 
 
-def _slim(tx: DataFrame) -> DataFrame:
+def slim(tx: DataFrame) -> DataFrame:
     """Only what scoring reads travels through the shuffle by user."""
     wanted = (
         "user_id",
