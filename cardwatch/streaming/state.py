@@ -67,7 +67,7 @@ class History:
         prev = tops[:-1]
         known = prev > 0
         late = known & (time < prev)
-        held = ~(known & (prev - np.where(known, time, 0) > cfg.late_tolerance_ms))
+        held = ~(known & (prev - np.where(known, time, 0) > self.tolerance_ms))
         bucket = time // self.bucket_ms
         run = tops[1:] // self.bucket_ms
 
