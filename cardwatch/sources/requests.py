@@ -3,12 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql import types as T
 
 from cardwatch.schemas import CHANNELS, REQUEST, REQUIRED
 
 _UUID = "^[0-9a-fA-F]{8}-?([0-9a-fA-F]{4}-?){3}[0-9a-fA-F]{12}$"
-_INTEGER = {T.LongType(): (-(2**63), 2**63 - 1), T.IntegerType(): (-(2**31), 2**31 - 1)}
 
 
 def json_kind(doc: str, path: str) -> str:
@@ -23,58 +21,68 @@ def decode_requests(raw: DataFrame, value: str = "value") -> DataFrame:
     a number is no string and a string no number. Unknown fields are ignored.
     """
     parsed = raw.withColumn("_doc", F.try_parse_json(value))
-    parsed = parsed.withColumns(
-        {f"_k_{f.name}": F.expr(json_kind("_doc", f.name)) for f in REQUEST.fields}
-    )
     columns = {
         f.name: F.expr(f"try_variant_get(_doc, '$.{f.name}', '{f.dataType.simpleString()}')")
         for f in REQUEST.fields
     }
-    kinds = [f"_k_{f.name}" for f in REQUEST.fields]
+    # A generator keeps later filters on `cause` above it, so that they read the
+    # verdict instead of repeating the parsing in the filter.
+    judged = F.array(F.struct("_doc", F.expr(_cause()).alias("cause")))
     return (
-        parsed.withColumn("cause", F.expr(_cause()))
+        parsed.select(*raw.columns, F.inline(judged).alias("_doc", "cause"))
         .withColumns(
             {c: F.when(F.col("cause").isNull(), column) for c, column in columns.items()}
         )
-        .drop("_doc", *kinds)
+        .drop("_doc")
     )
 
 
+# JSON kinds a column accepts; whole decimals are integers too long for BIGINT.
+_NUMBER = ("BIGINT", "WHOLE", "DECIMAL", "DOUBLE", "FLOAT")
+_KINDS = {
+    "bigint": ("BIGINT", "WHOLE"),
+    "int": ("BIGINT", "WHOLE"),
+    "double": _NUMBER,
+    "boolean": ("BOOLEAN",),
+    "string": ("STRING",),
+}
+
+
 def _cause() -> str:
-    """First broken rule, in this order."""
-
-    def kind_ok(f: T.StructField) -> str:
-        kind = f"_k_{f.name}"
-        if f.dataType in _INTEGER:
-            return f"({kind} = 'BIGINT' OR {kind} RLIKE '^DECIMAL[(][0-9]+,0[)]$')"
-        if f.dataType == T.DoubleType():
-            return f"({kind} IN ('BIGINT', 'DOUBLE', 'FLOAT') OR {kind} LIKE 'DECIMAL%')"
-        if f.dataType == T.BooleanType():
-            return f"{kind} = 'BOOLEAN'"
-        return f"{kind} = 'STRING'"
-
-    fields = {f.name: f for f in REQUEST.fields}
-    missing = " ".join(
-        f"WHEN coalesce(_k_{name}, 'VOID') = 'VOID' THEN 'missing: {name}'" for name in REQUIRED
+    """First broken rule: kinds of the fields in their order, then ranges and values."""
+
+    def typed(name: str) -> str:
+        return f"try_variant_get(_doc, '$.{name}', '{types[name]}')"
+
+    types = {f.name: f.dataType.simpleString() for f in REQUEST.fields}
+    kinds = ", ".join(f"coalesce({json_kind('_doc', name)}, 'VOID')" for name in types)
+    rules = ", ".join(
+        f"struct('{name}' AS name, {name in REQUIRED} AS required, "
+        f"array({', '.join(map(repr, _KINDS[kind]))}) AS kinds)"
+        for name, kind in types.items()
+    )
+    plain = (
+        "CASE WHEN k LIKE 'DECIMAL%,0)' THEN 'WHOLE' WHEN k LIKE 'DECIMAL%' THEN 'DECIMAL' ELSE k END"
     )
-    wrong_kind = " ".join(
-        f"WHEN NOT {kind_ok(fields[name])} THEN 'type: {name}'" for name in REQUIRED
+    # One small lambda over all fields keeps the generated code short.
+    verdicts = (
+        f"zip_with(array({kinds}), array({rules}), (k, rule) -> CASE "
+        "WHEN k = 'VOID' THEN CASE WHEN rule.required THEN concat('missing: ', rule.name) END "
+        f"WHEN NOT array_contains(rule.kinds, {plain}) THEN concat('type: ', rule.name) END)"
     )
+    first = f"try_element_at(filter({verdicts}, v -> v IS NOT NULL), 1)"
     ranges = " ".join(
-        f"WHEN try_variant_get(_doc, '$.{f.name}', '{f.dataType.simpleString()}') IS NULL "
-        f"THEN 'range: {f.name}'"
-        for f in REQUEST.fields
-        if f.dataType in _INTEGER
+        f"WHEN {typed(name)} IS NULL THEN 'range: {name}'"
+        for name, kind in types.items()
+        if kind in ("bigint", "int")
     )
-    channels = ", ".join(repr(c) for c in CHANNELS)
-    trace = "variant_get(_doc, '$.trace_id', 'string')"
-    return (
-        "CASE WHEN _doc IS NULL OR NOT schema_of_variant(_doc) LIKE 'OBJECT<%' THEN 'syntax' "
-        f"{missing} {wrong_kind} {ranges} "
-        f"WHEN try_variant_get(_doc, '$.channel', 'string') NOT IN ({channels}) THEN 'channel' "
-        "WHEN coalesce(_k_trace_id, 'VOID') <> 'VOID' AND "
-        f"NOT (_k_trace_id = 'STRING' AND {trace} RLIKE '{_UUID}') THEN 'trace_id' END"
+    channels = ", ".join(map(repr, CHANNELS))
+    values = (
+        f"CASE {ranges} WHEN {typed('channel')} NOT IN ({channels}) THEN 'channel' "
+        f"WHEN NOT {typed('trace_id')} RLIKE '{_UUID}' THEN 'trace_id' END"
     )
+    is_object = "coalesce(schema_of_variant(_doc) LIKE 'OBJECT<%', false)"
+    return f"CASE WHEN NOT {is_object} THEN 'syntax' ELSE coalesce({first}, {values}) END"
 
 
 def dead_letter_split(decoded: DataFrame) -> tuple[DataFrame, DataFrame]:

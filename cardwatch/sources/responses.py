@@ -33,9 +33,11 @@ def decode_responses(raw: DataFrame, value: str = "value") -> DataFrame:
         for s in STAGES
         if s != "parse"
     }
+    # As for requests: a filter on `ok` must not repeat the parsing.
+    judged = F.array(F.struct("_doc", F.expr(ok).alias("ok")))
     return (
         raw.withColumn("_doc", F.try_parse_json(value))
-        .withColumn("ok", F.expr(ok))
+        .select(*raw.columns, F.inline(judged).alias("_doc", "ok"))
         .withColumns(stages)
         .drop("_doc")
     )
