@@ -5,11 +5,10 @@ A row sees the accepted rows of its user that arrived before it and whose
 orders matter, because rows arrive late. Nothing here pairs rows with rows:
 
 * Rows on time (nearly all): the running maximum bucket never falls with
-  arrival, so the rows are cut into cells along it, one window minus the late
-  tolerance wide. Everything in the row's own cell is inside its window, so a
-  running total in arrival order is enough. Rows of the two cells before it have
-  all arrived and leave the window one by one, which is a running total in order
-  of expiry. All totals are additions, so long histories lose no digits.
+  arrival. Sorted by it, a row's window is a range frame over rows that are all
+  earlier arrivals, and the rows at its own place count up to its arrival. A frame
+  holds a row for at most one window of buckets, so work per row is bounded.
+  All totals are additions, so long histories lose no digits.
 * Late rows, and rows after a time at or before the epoch (for which lateness is
   not defined): counted on a tree of bucket blocks, with a running total in
   arrival order per block. Only segments that hold such rows take part.
@@ -78,12 +77,12 @@ def store_features(
     """Adds the six history features to every row of `tx`, as of before the row itself."""
     rows = with_lateness_columns(segmented(tx, cfg, key, order), cfg, key, order)
     payload = [c for c in tx.columns if c not in (key, order)]
-    wide_enough = min(cfg.short_buckets, cfg.long_buckets) >= 2 * cfg.late_buckets
+    wide_enough = min(cfg.short_buckets, cfg.long_buckets) >= cfg.late_buckets + 2
     fast = "_real AND _bucket = _run AND _low > 0" if wide_enough else "false"
     rows = rows.withColumn("_fast", F.expr(fast))
     parts = [_by_tree(rows, cfg, key, order, payload)]
     if wide_enough:
-        parts.append(_by_cells(rows, cfg, key, order, payload))
+        parts.append(_on_time(rows, cfg, key, order, payload))
     out = [part.select(*tx.columns, *STORE_FEATURES) for part in parts]
     return out[0] if len(out) == 1 else out[0].unionByName(out[1])
 
@@ -96,69 +95,78 @@ def _gap_and_flag() -> dict[str, Column]:
     }
 
 
-def _by_cells(
+def _on_time(
     rows: DataFrame, cfg: Config, key: str, order: str, payload: list[str]
 ) -> DataFrame:
-    """Rows on time."""
+    """Rows on time, by frames over their running maximum bucket."""
+    tolerance = cfg.late_buckets
+    keep = [*payload, "inter_arrival_ms", "oo_order_flag", "_fast"]
     rows = rows.withColumns(_gap_and_flag())
-    keep = [*payload, "inter_arrival_ms", "oo_order_flag"]
-    for name, width in (
-        ("300s", cfg.long_buckets),
-        ("60s", min(cfg.short_buckets, cfg.long_buckets)),
-    ):
-        rows = _add_window(rows, cfg, key, order, width, name, keep)
-        keep += [f"velocity_{name}", f"amount_sum_{name}"]
-    return rows.filter("_fast")
-
 
-def _add_window(
-    rows: DataFrame, cfg: Config, key: str, order: str, width: int, name: str, keep: list[str]
-) -> DataFrame:
-    reach = width - cfg.late_buckets
-    own = (
-        Window.partitionBy(key, "_segment", "_cell")
+    # An entry stands at a bucket and weighs in up to three ways: for rows at the
+    # same place that arrive after it (0), for rows up to the tolerance further on
+    # (1), and for rows beyond that (2).
+    def entry(at: str, here: str, soon: str, settled: str, is_row: bool) -> str:
+        weights = ", ".join(
+            f"'n{i}', CASE WHEN {c} THEN _n END, 's{i}', CASE WHEN {c} THEN _sum END"
+            for i, c in enumerate((here, soon, settled))
+        )
+        return f"named_struct('at', {at}, {weights}, 'is_row', {str(is_row).lower()})"
+
+    on_time = "(_held AND _bucket = _run)"
+    itself = entry("_run", "_held", on_time, on_time, True)
+    # A late row stands at its own bucket for rows so far on that they came after
+    # it; for nearer ones, at each place after the one where it arrived. There it
+    # precedes all rows in arrival order.
+    settled = entry("_bucket", "false", "false", "true", False)
+    near = entry("at", "true", "false", "false", False)
+    soon = (
+        f"CASE WHEN _run < _bucket + {tolerance} THEN "
+        f"transform(sequence(_run + 1, _bucket + {tolerance}), at -> {near}) ELSE array() END"
+    )
+    entries = F.expr(
+        f"CASE WHEN _held AND _bucket < _run THEN concat(array({itself}, {settled}), {soon}) "
+        f"ELSE array({itself}) END"
+    )
+    names = ("_at", "_n0", "_s0", "_n1", "_s1", "_n2", "_s2", "_is_row")
+    # What only the row itself needs is not copied.
+    exploded = rows.select(
+        key, order, "_segment", *keep, F.inline(entries).alias(*names)
+    ).selectExpr(
+        key, order, "_segment", *names, *[f"CASE WHEN _is_row THEN {c} END AS {c}" for c in keep]
+    )
+    same = (
+        Window.partitionBy(key, "_segment", "_at")
         .orderBy(order)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    rows = rows.withColumn("_cell", F.expr(_floor_div("_run", reach))).withColumns(
-        {
-            "_own_n": F.sum(F.expr("CASE WHEN _held THEN _n END")).over(own),
-            "_own_s": F.sum(F.expr("CASE WHEN _held THEN _sum END")).over(own),
+    # The sort for `same` also serves these frames.
+    by_place = Window.partitionBy(key, "_segment").orderBy("_at")
+    soon_after = by_place.rangeBetween(-tolerance, -1)
+    summed = exploded.withColumns(
+        {"_here_n": F.sum("_n0").over(same), "_here_s": F.sum("_s0").over(same)}
+    ).withColumns(
+        {"_soon_n": F.sum("_n1").over(soon_after), "_soon_s": F.sum("_s1").over(soon_after)}
+        | {
+            f"_{x}{name}": F.sum(f"_{x}2").over(by_place.rangeBetween(-(width - 1), -(tolerance + 1)))
+            for name, width in (
+                ("60s", min(cfg.short_buckets, cfg.long_buckets)),
+                ("300s", cfg.long_buckets),
+            )
+            for x in ("n", "s")
         }
     )
 
-    # Each row asks at its own bucket, and adds to the next two cells until its
-    # bucket leaves the window.
-    def adds(ahead: int) -> str:
-        cell, expires = f"_cell + {ahead}", f"_bucket + {width - 1}"
-        return (
-            f"CASE WHEN _held AND {expires} >= ({cell}) * {reach} THEN "
-            f"named_struct('cell', {cell}, 'at', {expires}, 'n', _n, 's', _sum, 'ask', false) END"
-        )
+    def total(x: str, name: str) -> str:
+        parts = (f"_here_{x}", f"_soon_{x}", f"_{x}{name}")
+        return " + ".join(f"coalesce({part}, 0)" for part in parts)
 
-    asks = "named_struct('cell', _cell, 'at', _run, 'n', 0L, 's', 0D, 'ask', true)"
-    entries = F.expr(f"filter(array({asks}, {adds(1)}, {adds(2)}), e -> e IS NOT NULL)")
-    carried = ("_bucket", "_run", "_n", "_sum", "_held", "_segment", "_fast", "_own_n", "_own_s")
-    entry = ("_at_cell", "_at", "_in", "_is", "_ask")
-    exploded = rows.select(key, order, *keep, *carried, F.inline(entries).alias(*entry))
-    # What only the row itself needs is not copied.
-    exploded = exploded.selectExpr(
-        key, order, *carried, *entry, *[f"CASE WHEN _ask THEN {c} END AS {c}" for c in keep]
-    )
-    expiry = Window.partitionBy(key, "_segment", "_at_cell").orderBy(F.desc("_at"))
-    return (
-        exploded.withColumns(
-            {"_old_n": F.sum("_in").over(expiry), "_old_s": F.sum("_is").over(expiry)}
-        )
-        .filter("_ask")
-        .selectExpr(
-            key,
-            order,
-            *keep,
-            *[c for c in carried if not c.startswith("_own")],
-            f"CAST(coalesce(_own_n, 0L) + coalesce(_old_n, 0L) AS double) AS velocity_{name}",
-            f"coalesce(_own_s, 0D) + coalesce(_old_s, 0D) AS amount_sum_{name}",
-        )
+    return summed.filter("_is_row AND _fast").selectExpr(
+        key,
+        order,
+        *keep,
+        *[f"CAST({total('n', name)} AS double) AS velocity_{name}" for name in ("60s", "300s")],
+        *[f"{total('s', name)} AS amount_sum_{name}" for name in ("60s", "300s")],
     )
 
 
