@@ -20,20 +20,26 @@ def decode_requests(raw: DataFrame, value: str = "value") -> DataFrame:
     Each line is parsed once. Values of the wrong JSON kind are not converted:
     a number is no string and a string no number. Unknown fields are ignored.
     """
-    parsed = raw.withColumn("_doc", F.try_parse_json(value))
-    columns = {
-        f.name: F.expr(f"try_variant_get(_doc, '$.{f.name}', '{f.dataType.simpleString()}')")
-        for f in REQUEST.fields
-    }
+    names = [f.name for f in REQUEST.fields]
+    kinds = ", ".join(f"coalesce({json_kind('_doc', name)}, 'VOID')" for name in names)
+    typed = (
+        raw.withColumn("_doc", F.try_parse_json(value))
+        .select(
+            *raw.columns,
+            F.expr(f"array({kinds})").alias("_kinds"),
+            F.col("_doc").isNull().alias("_broken"),
+            *[
+                F.expr(f"try_variant_get(_doc, '$.{f.name}', '{f.dataType.simpleString()}')").alias(f.name)
+                for f in REQUEST.fields
+            ],
+        )
+    )
     # A generator keeps later filters on `cause` above it, so that they read the
     # verdict instead of repeating the parsing in the filter.
-    judged = F.array(F.struct("_doc", F.expr(_cause()).alias("cause")))
-    return (
-        parsed.select(*raw.columns, F.inline(judged).alias("_doc", "cause"))
-        .withColumns(
-            {c: F.when(F.col("cause").isNull(), column) for c, column in columns.items()}
-        )
-        .drop("_doc")
+    judged = F.array(F.struct(F.expr(_cause()).alias("cause"), *names))
+    out = typed.select(*raw.columns, F.inline(judged).alias("cause", *names))
+    return out.select(
+        *raw.columns, "cause", *[F.expr(f"CASE WHEN cause IS NULL THEN {c} END").alias(c) for c in names]
     )
 
 
@@ -51,11 +57,7 @@ _KINDS = {
 def _cause() -> str:
     """First broken rule: kinds of the fields in their order, then ranges and values."""
 
-    def typed(name: str) -> str:
-        return f"try_variant_get(_doc, '$.{name}', '{types[name]}')"
-
     types = {f.name: f.dataType.simpleString() for f in REQUEST.fields}
-    kinds = ", ".join(f"coalesce({json_kind('_doc', name)}, 'VOID')" for name in types)
     rules = ", ".join(
         f"struct('{name}' AS name, {name in REQUIRED} AS required, "
         f"array({', '.join(map(repr, _KINDS[kind]))}) AS kinds)"
@@ -66,23 +68,22 @@ def _cause() -> str:
     )
     # One small lambda over all fields keeps the generated code short.
     verdicts = (
-        f"zip_with(array({kinds}), array({rules}), (k, rule) -> CASE "
+        f"zip_with(_kinds, array({rules}), (k, rule) -> CASE "
         "WHEN k = 'VOID' THEN CASE WHEN rule.required THEN concat('missing: ', rule.name) END "
         f"WHEN NOT array_contains(rule.kinds, {plain}) THEN concat('type: ', rule.name) END)"
     )
     first = f"try_element_at(filter({verdicts}, v -> v IS NOT NULL), 1)"
     ranges = " ".join(
-        f"WHEN {typed(name)} IS NULL THEN 'range: {name}'"
+        f"WHEN {name} IS NULL THEN 'range: {name}'"
         for name, kind in types.items()
         if kind in ("bigint", "int")
     )
     channels = ", ".join(map(repr, CHANNELS))
     values = (
-        f"CASE {ranges} WHEN {typed('channel')} NOT IN ({channels}) THEN 'channel' "
-        f"WHEN NOT {typed('trace_id')} RLIKE '{_UUID}' THEN 'trace_id' END"
+        f"CASE {ranges} WHEN channel NOT IN ({channels}) THEN 'channel' "
+        f"WHEN NOT trace_id RLIKE '{_UUID}' THEN 'trace_id' END"
     )
-    is_object = "coalesce(schema_of_variant(_doc) LIKE 'OBJECT<%', false)"
-    return f"CASE WHEN NOT {is_object} THEN 'syntax' ELSE coalesce({first}, {values}) END"
+    return f"CASE WHEN _broken THEN 'syntax' ELSE coalesce({first}, {values}) END"
 
 
 def dead_letter_split(decoded: DataFrame) -> tuple[DataFrame, DataFrame]:

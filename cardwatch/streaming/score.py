@@ -23,10 +23,13 @@ def read_requests(
     """Stream of decoded request lines from JSON files, with `cause` of a dead letter.
 
     Arrival order across micro-batches is the order of the files; within one it
-    is `arrival_seq`. `ingest_time_ms` is the "now" of the future clamp: pass
-    `now_ms()` in production, nothing for a replay.
+    is `arrival_seq`. A micro-batch takes at most `maxBytesPerTrigger` of files, so
+    that also a user with a third of the traffic fits in a task. `ingest_time_ms`
+    is the "now" of the future clamp: pass `now_ms()` in production, nothing for
+    a replay.
     """
-    lines = spark.readStream.schema(LINES).options(**options).json(path)
+    limits = {} if "maxFilesPerTrigger" in options else {"maxBytesPerTrigger": str(2 * 1024**3)}
+    lines = spark.readStream.schema(LINES).options(**limits | options).json(path)
     decoded = decode_requests(lines).drop("value")
     return decoded if ingest_time_ms is None else decoded.withColumn("ingest_time_ms", ingest_time_ms)
 
@@ -82,7 +85,11 @@ def start_sink(
     format: str = "json",
     available_now: bool = False,
 ) -> StreamingQuery:
-    """Appends to files, exactly once; the checkpoint holds offsets and state."""
+    """Appends to files, exactly once; the checkpoint holds offsets and state.
+
+    `available_now` ends after what is there; do not combine it with an idle
+    timeout, which asks for batches for ever.
+    """
     writer = (
         responses.writeStream.format(format)
         .outputMode("append")
