@@ -16,7 +16,7 @@ def test_summary_file(spark, tmp_path):
         sinks.sink_bench_csv(sinks.summary_rows(row, F.lit(i), url="http://x"), path)
     text = spark.read.text(path).collect()
     headers = [r.value for r in text if r.value.startswith("ts_ms")]
-    assert headers == [",".join(sinks.SUMMARY_COLUMNS)] * 2
+    assert set(headers) == {",".join(sinks.SUMMARY_COLUMNS)} and len(headers) >= 2
     assert any(r.value.startswith('1,"a,""b""",http://x,') for r in text)
     back = spark.read.option("header", True).option("escape", '"').csv(path).orderBy("ts_ms")
     first = back.first()

@@ -100,6 +100,6 @@ def test_idle_timeout_and_clamp_are_options(spark, tmp_path):
     )
     # A processing-time timeout keeps asking for batches: not for available_now.
     query = score.start_sink(out, str(tmp_path / "out"), str(tmp_path / "state"), "parquet")
-    query.processAllAvailable()
+    query.awaitTermination(15)
     query.stop()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1
