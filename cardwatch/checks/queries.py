@@ -61,8 +61,9 @@ def _r(name: str) -> Column:
     return F.round(F.col(name), 6).alias(name)
 
 
-def _row(name: str, column: Column) -> Query:
-    return lambda s, d: _tx(s, d).select("arrival_seq", column.alias(name))
+def _row(name: str, column: Callable[[], Column]) -> Query:
+    # Columns need a running session; the registry itself must not.
+    return lambda s, d: _tx(s, d).select("arrival_seq", column().alias(name))
 
 
 # Scans, sources, sinks -------------------------------------------------------
@@ -343,12 +344,12 @@ def queries() -> dict[str, Query]:
         "sink_bench_csv": summary_file,
         # row features
         "trace_id": trace_ids,
-        "amount_log": _row("amount_log", F.round(X.amount_log(F.col("amount") - 20), 6)),
-        "is_foreign": _row("is_foreign", X.is_foreign(F.col("country"))),
-        "mcc_risk": _row("mcc_risk", X.mcc_risk(F.col("mcc"))),
-        "device_risky": _row("device_risky", X.device_risky(F.col("device_id"))),
-        "ip_risky": _row("ip_risky", X.ip_risky(F.col("ip_prefix"))),
-        "is_3ds_num": _row("is_3ds", F.col("is_3ds").cast("double")),
+        "amount_log": _row("amount_log", lambda: F.round(X.amount_log(F.col("amount") - 20), 6)),
+        "is_foreign": _row("is_foreign", lambda: X.is_foreign(F.col("country"))),
+        "mcc_risk": _row("mcc_risk", lambda: X.mcc_risk(F.col("mcc"))),
+        "device_risky": _row("device_risky", lambda: X.device_risky(F.col("device_id"))),
+        "ip_risky": _row("ip_risky", lambda: X.ip_risky(F.col("ip_prefix"))),
+        "is_3ds_num": _row("is_3ds", lambda: F.col("is_3ds").cast("double")),
         "future_clamp": clamp,
         "bucketize": negative_buckets,
         "sigmoid": sigmoid_of,
