@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cardwatch.llm.packing import pack
+from cardwatch.llm.quality import judge
 from cardwatch.llm.token_counts import token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,8 +26,16 @@ def op7_token_counts(spark: SparkSession, d: str) -> DataFrame:
     return token_counts(_table(spark, d, "documents"))
 
 
+def op10_quality_rules(spark: SparkSession, d: str) -> DataFrame:
+    judged = judge(_table(spark, d, "documents").select("doc_id", "text"))
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return judged.select(
+        "doc_id", *[f"quality.{c}" for c in names], "base_failed", "kept", "quality_probability"
+    )
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op5_packing, op7_token_counts)}
+    return {f.__name__: f for f in (op5_packing, op7_token_counts, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
