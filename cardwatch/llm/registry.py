@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cardwatch.llm.packing import pack
 from cardwatch.llm.quality import judge
+from cardwatch.llm.simhash import near_duplicates
 from cardwatch.llm.token_counts import token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +23,10 @@ def op5_packing(spark: SparkSession, d: str) -> DataFrame:
     return packed.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+def op6_simhash(spark: SparkSession, d: str) -> DataFrame:
+    return near_duplicates(_table(spark, d, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, d: str) -> DataFrame:
     return token_counts(_table(spark, d, "documents"))
 
@@ -35,7 +40,7 @@ def op10_quality_rules(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op5_packing, op7_token_counts, op10_quality_rules)}
+    return {f.__name__: f for f in (op5_packing, op6_simhash, op7_token_counts, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -35,20 +35,28 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(row key, id, text): one key per row, in the order of the ids.
+def numbered(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
+    """All columns and a row key, with the key's name: in the order of the ids.
 
     The key is the id where ids are unique, integer and never null. Elsewhere rows are
     written once with a number in the order (id, nulls first; text), so that rows which
     repeat an id are documents of their own.
     """
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    if dict(rows.dtypes)["_id"] in ("bigint", "int", "smallint", "tinyint"):
-        repeated = rows.groupBy("_id").count().filter("`count` > 1 or _id is null")
+    key = ROW
+    while key in docs.columns:
+        key = f"_{key}"
+    if dict(docs.dtypes)[id_col] in ("bigint", "int", "smallint", "tinyint"):
+        repeated = docs.groupBy(id_col).count().filter(F.col(id_col).isNull() | (F.col("count") > 1))
         if repeated.isEmpty():
-            return rows.select(F.col("_id").cast("long").alias(ROW), "_id", "_text")
-    ordered = rows.repartitionByRange("_id", "_text").sortWithinPartitions("_id", "_text")
-    return stage(ordered.select(F.monotonically_increasing_id().alias(ROW), "_id", "_text"), "rows")
+            return docs.withColumn(key, F.col(id_col).cast("long")), key
+    ordered = docs.repartitionByRange(id_col, text_col).sortWithinPartitions(id_col, text_col)
+    return stage(ordered.withColumn(key, F.monotonically_increasing_id()), "rows"), key
+
+
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(row key, _id, _text) of `numbered` rows."""
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
+    return numbered(rows, "_id", "_text")[0].select(ROW, "_id", "_text")
 
 
 def pieces(batch: Iterable[tuple], size: Iterable[int], limit: int) -> Iterator[list[tuple]]:
