@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from cardwatch.llm import oracle
+from cardwatch.llm.decontam import n_hit, with_contamination
 from cardwatch.llm.packing import pack
 from cardwatch.llm.quality import judge
 from cardwatch.llm.simhash import near_duplicates
@@ -18,6 +20,19 @@ def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def op2_decontamination(spark: SparkSession, d: str) -> DataFrame:
+    docs = _table(spark, d, "documents").select("doc_id", "text")
+    items = F.col("contamination.items")
+    return with_contamination(docs, _table(spark, d, "benchmark")).select(
+        "doc_id",
+        "contamination.n_words",
+        n_hit().alias("n_hit"),
+        F.size(items).cast("long").alias("n_items"),
+        F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),
+        (F.size(items) > 0).alias("contaminated"),
+    )
+
+
 def op5_packing(spark: SparkSession, d: str) -> DataFrame:
     packed = pack(_table(spark, d, "documents"))
     return packed.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
@@ -40,8 +55,8 @@ def op10_quality_rules(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op5_packing, op6_simhash, op7_token_counts, op10_quality_rules)}
+    return {f.__name__: f for f in (op2_decontamination, op5_packing, op6_simhash, op7_token_counts, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.SQL
