@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from cardwatch.llm import oracle
 from cardwatch.llm.decontam import n_hit, with_contamination
 from cardwatch.llm.packing import pack
+from cardwatch.llm.pii import KINDS, spans_text, with_spans
 from cardwatch.llm.quality import judge
 from cardwatch.llm.simhash import near_duplicates
 from cardwatch.llm.token_counts import token_counts
@@ -46,6 +47,20 @@ def op7_token_counts(spark: SparkSession, d: str) -> DataFrame:
     return token_counts(_table(spark, d, "documents"))
 
 
+def op9_pii(spark: SparkSession, d: str) -> DataFrame:
+    base = F.filter("pii", lambda s: s["base"])
+    found = with_spans(_table(spark, d, "documents").select("doc_id", "text"))
+    return found.withColumn("_base", base).select(
+        "doc_id",
+        *[
+            F.size(F.expr(f"filter(_base, s -> s.kind = '{k}')")).cast("long").alias(f"n_{k}")
+            for k in KINDS
+        ],
+        F.sha2(spans_text(F.col("_base")), 256).alias("base_sha256"),
+        spans_text(F.col("pii")).alias("spans"),
+    )
+
+
 def op10_quality_rules(spark: SparkSession, d: str) -> DataFrame:
     judged = judge(_table(spark, d, "documents").select("doc_id", "text"))
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -55,7 +70,7 @@ def op10_quality_rules(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_decontamination, op5_packing, op6_simhash, op7_token_counts, op10_quality_rules)}
+    return {f.__name__: f for f in (op2_decontamination, op5_packing, op6_simhash, op7_token_counts, op9_pii, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
