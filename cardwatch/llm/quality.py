@@ -10,7 +10,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cardwatch.llm.shared import stage
+from cardwatch.llm.shared import numbered, stage
 
 #: Frequent function words of the languages served; fixed values.
 STOP_WORDS = (
@@ -199,15 +199,16 @@ def judge(
     """All rows with their measures, the posterior probability and the verdict.
 
     Appends `out`, `quality_probability`, `base_failed` and `kept` (like-named columns are
-    replaced). Measures are written once to the shared folder, so pass only the columns
-    that you need; see `filter_good` for whole rows.
+    replaced) and leaves the text out. Measures are written once to the shared folder, so
+    pass only the columns that you need; see `filter_good` for whole rows.
 
     Null and empty text: no words, so base_failed. Very long texts are measured whole.
     Ties and repeated rows are judged alike, each by itself. Empty table: no rows.
     """
     names = ("quality_probability", "base_failed", "kept")
     docs = docs.drop(*names)
-    rows = stage(measured(docs, text_col=text_col, out=out), "quality")
+    rows = measured(docs, text_col=text_col, out=out).drop(text_col)
+    rows = stage(rows, "quality")
     votes = rules(out)
     model = fit(rows, votes)
     return rows.withColumns(
@@ -219,9 +220,10 @@ def judge(
     )
 
 
-def filter_good(docs: DataFrame, *, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows that `judge` keeps, with their own columns."""
-    out = "_quality"
-    model = fit(measured(docs.select(text_col), text_col=text_col, out=out), rules(out))
-    rows = measured(docs, text_col=text_col, out=out)
-    return rows.filter(kept(model, out, threshold)).select(*[f"`{c}`" for c in docs.columns])
+def filter_good(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5
+) -> DataFrame:
+    """The rows that `judge` keeps, with their own columns. Texts are measured once."""
+    rows, key = numbered(docs, id_col, text_col)
+    judged = judge(rows.select(key, text_col), text_col=text_col, threshold=threshold)
+    return rows.join(judged.filter("kept").select(key), key, "left_semi").drop(key)
