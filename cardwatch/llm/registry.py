@@ -12,6 +12,7 @@ from cardwatch.llm.packing import pack
 from cardwatch.llm.pii import KINDS, spans_text, with_spans
 from cardwatch.llm.quality import judge
 from cardwatch.llm.simhash import near_duplicates
+from cardwatch.llm.substrings import dedup_substrings, n_removed
 from cardwatch.llm.token_counts import token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +35,12 @@ def op2_decontamination(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def op3_substring_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return dedup_substrings(_table(spark, d, "documents")).select(
+        "doc_id", "n_words", n_removed().alias("n_removed"), F.sha2("kept_text", 256).alias("kept_sha256")
+    )
+
+
 def op5_packing(spark: SparkSession, d: str) -> DataFrame:
     packed = pack(_table(spark, d, "documents"))
     return packed.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
@@ -70,7 +77,7 @@ def op10_quality_rules(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_decontamination, op5_packing, op6_simhash, op7_token_counts, op9_pii, op10_quality_rules)}
+    return {f.__name__: f for f in (op2_decontamination, op3_substring_dedup, op5_packing, op6_simhash, op7_token_counts, op9_pii, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
