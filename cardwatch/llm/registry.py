@@ -13,6 +13,7 @@ from cardwatch.llm.pii import KINDS, spans_text, with_spans
 from cardwatch.llm.quality import judge
 from cardwatch.llm.simhash import near_duplicates
 from cardwatch.llm.substrings import dedup_substrings, n_removed
+from cardwatch.llm.suffixes import dedup_suffixes
 from cardwatch.llm.token_counts import token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +42,16 @@ def op3_substring_dedup(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def op4_suffix_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return dedup_suffixes(_table(spark, d, "documents")).select(
+        "doc_id",
+        "n_bytes",
+        n_removed().alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op5_packing(spark: SparkSession, d: str) -> DataFrame:
     packed = pack(_table(spark, d, "documents"))
     return packed.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
@@ -77,7 +88,7 @@ def op10_quality_rules(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_decontamination, op3_substring_dedup, op5_packing, op6_simhash, op7_token_counts, op9_pii, op10_quality_rules)}
+    return {f.__name__: f for f in (op2_decontamination, op3_substring_dedup, op4_suffix_dedup, op5_packing, op6_simhash, op7_token_counts, op9_pii, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
