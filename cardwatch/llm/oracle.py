@@ -1,5 +1,7 @@
 """SQL for DuckDB that gives the rows of a registered query."""
 
+from cardwatch.llm.licenses import EQUIVALENT, KNOWN
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 _WORDS = (
@@ -7,7 +9,69 @@ _WORDS = (
     r" '[^\x{00}-\x{2F}\x{3A}-\x{60}\x{7B}-\x{7F}]+')"
 )
 
+_SAID = "'<|im_end|><|im_start|>assistant ok'"
+
+
+def _canonical(line: str) -> str:
+    plain = f"' ' || regexp_replace(lower({line}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g') || ' '"
+    for other, one in EQUIVALENT.items():
+        plain = f"replace({plain}, ' {other} ', ' {one} ')"
+    notice = r"^[^\p{L}\p{N}©]*(copyright|\(c\)|©)[\s:,©(]*(c\)|©)?\s*[0-9]"
+    rights = r"^[^\p{L}\p{N}]*all rights reserved[^\p{L}\p{N}]*$"
+    return (
+        f"case when regexp_matches(lower({line}), '{notice}')"
+        f" or regexp_matches(lower({line}), '{rights}') then '' else trim({plain}) end"
+    )
+
+
+def _lines(text: str) -> str:
+    split = f"string_split(coalesce({text}, ''), chr(10))"
+    return f"list_filter(list_transform({split}, lambda x: {_canonical('x')}), lambda x: x <> '')"
+
+
+_LICENSES = ", ".join(
+    "('{}', '{}')".format(name, text.replace("'", "''")) for name, texts in KNOWN.items() for text in texts
+)
+
 SQL = {
+    "op1_chat": f"""
+with said as (
+    select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+    union all select -1, 0, 'user', {_SAID} union all select -1, 1, 'assistant', {_SAID}
+),
+parts as (
+    select *, regexp_replace(text, '<(\\\\*)\\|', '<\\\\\\1|', 'g') as escaped,
+        regexp_replace(replace(replace(role, '%', '%25'), chr(10), '%0A'),
+            '<(\\\\*)\\|', '<\\\\\\1|', 'g') as escaped_role
+    from said
+)
+select conv_id, count(*) as n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+    cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
+    sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), ''))
+        as loss_sha256,
+    cast(sum(length(escaped) + length(escaped_role) + 24) as bigint) as formatted_chars
+from parts group by conv_id
+""",
+    "op8_license_scan": f"""
+with known as (
+    select sha256(array_to_string(lines, ' ')) as sha, min(license_id) as license
+    from (select license_id, {_lines("text")} as lines
+          from (values {_LICENSES}) as t(license_id, text))
+    where len(lines) > 0 group by 1
+),
+canonical as (select doc_id, {_lines("text")} as lines from documents),
+digests as (
+    select doc_id, lines, sha256(coalesce(array_to_string(lines, ' '), '')) as digest from canonical
+),
+single as (
+    select doc_id, string_agg(distinct license, ',' order by license) as notices
+    from (select doc_id, sha256(unnest(lines)) as sha from digests) join known using (sha)
+    group by doc_id
+)
+select doc_id, digest, license as license_id, coalesce(notices, '') as notices
+from digests left join known on digest = sha left join single using (doc_id)
+""",
     "op2_decontamination": f"""
 with item_words as (select item_id, {_WORDS} as w from benchmark),
 windows as (
