@@ -47,6 +47,8 @@ def decide(score: Column, elapsed_us: Column | None, cfg: Config) -> Column:
     spent = F.lit(0) if elapsed_us is None else F.coalesce(elapsed_us, F.lit(0))
     return (
         F.when(spent > cfg.budget_us, "degrade_allow")
+        # Spark ranks NaN above all numbers; here it reaches no threshold.
+        .when(F.isnan(score), "allow")
         .when(score >= cfg.deny_threshold, "deny")
         .when(score >= cfg.review_threshold, "manual_review")
         .otherwise("allow")
@@ -73,8 +75,11 @@ def reasons(used_l2: Column) -> Column:
             direction.alias("direction"),
         )
 
+    def above(value: Column, limit: float) -> Column:
+        return (value > limit) & ~F.isnan(value)
+
     base = [
-        item(s, F.col(s), baseline, F.when(F.col(s) > limit, "risk_up").otherwise("risk_down"))
+        item(s, F.col(s), baseline, F.when(above(F.col(s), limit), "risk_up").otherwise("risk_down"))
         for s, baseline, limit in EVIDENCE
     ]
     second = item("layer2_used", F.lit(1.0), 1.0, F.lit("info"))

@@ -13,15 +13,22 @@ def linear_score_long(features: DataFrame, weights: DataFrame, row: list[str]) -
 
     A row's few features are brought together once, by one shuffle, and get the
     bias term; so a row without any matching feature still has every model's
-    score. Only the weights are broadcast: one row per model term, whatever the data.
+    score. Of features with the same name the first counts: by `position`, if the
+    table has that column, then by value. How the weights are joined is Spark's choice.
     """
-    term = F.struct("name", "value")
+    position = F.col("position") if "position" in features.columns else F.lit(0)
+    term = F.struct(position.alias("position"), "value", "name")
     bias = F.struct(F.lit(BIAS).alias("name"), F.lit(1.0).alias("value"))
+    names = F.transform("terms", lambda t: t["name"])
+    first = F.filter("terms", lambda t, i: F.array_position(F.col("names"), t["name"]) == i + 1)
+    pairs = F.transform("first", lambda t: F.struct(t["name"].alias("name"), t["value"].alias("value")))
     terms = (
         features.groupBy(*row)
-        .agg(F.collect_list(term).alias("terms"))
-        .select(*row, F.inline(F.array_append("terms", bias)))
+        .agg(F.array_sort(F.collect_list(term)).alias("terms"))
+        .withColumn("names", names)
+        .select(*row, first.alias("first"))
+        .select(*row, F.inline(F.array_append(pairs, bias)))
     )
-    weighted = terms.join(F.broadcast(weights), F.col("name") == F.col("feature"))
+    weighted = terms.join(weights, F.col("name") == F.col("feature"))
     z = F.sum(F.col("weight") * F.col("value"))
     return weighted.groupBy(*row, "model").agg(clamp01(sigmoid(z)).alias("score"))

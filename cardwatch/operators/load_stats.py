@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cardwatch.functions.features import floor_div
@@ -11,6 +13,14 @@ MEASURES = ("e2e", "feature", "router", "l1", "l2", "serialize")
 _BIN = 65_536
 
 
+def join_groups(left: DataFrame, right: DataFrame, by: list[str], how: str) -> DataFrame:
+    """An equi-join in which null group keys match; keeps the left side's keys."""
+    named = right.withColumnsRenamed({c: f"_right_{c}" for c in by})
+    same = [F.col(c).eqNullSafe(F.col(f"_right_{c}")) for c in by]
+    on = reduce(lambda a, b: a & b, same, F.lit(True))
+    return left.join(named, on, how).drop(*[f"_right_{c}" for c in by])
+
+
 def nearest_rank(df: DataFrame, by: list[str], value: str, ps: tuple[int, ...]) -> DataFrame:
     """Exact percentiles sorted[round(p/100 * (n-1))] of a whole-number column per group.
 
@@ -41,9 +51,8 @@ def nearest_rank(df: DataFrame, by: list[str], value: str, ps: tuple[int, ...])
     first = F.coalesce(F.col("_bins_before"), zero) + F.coalesce(F.col("_values_before"), zero)
     placed = (
         counts.withColumn("_values_before", F.sum("_n").over(in_bin))
-        .join(bins, [*by, "_bin"])
-        .withColumn("_first", first)
     )
+    placed = join_groups(placed, bins, [*by, "_bin"], "inner").withColumn("_first", first)
 
     def at(p: int) -> Column:
         rank = F.round(F.lit(p / 100.0) * (F.col("_total") - 1).cast("double")).cast("long")
@@ -104,12 +113,18 @@ def bench_summary(
     levels: DataFrame | None = None,
     scrapes: DataFrame | None = None,
 ) -> DataFrame:
-    """One row per (runtime, rps). Percentiles are over ok samples only, 0 without any."""
+    """One row per (runtime, rps) that any input has, whatever came back of it.
+
+    Percentiles are over ok samples only; numbers that an input lacks are 0, and
+    scraped counters null.
+    """
     key = ["runtime", "rps"]
     good = samples.filter("ok")
-    out = samples.groupBy(*key).agg(
+    given = [df.select(*key) for df in (samples, ticks, levels, scrapes) if df is not None]
+    totals = samples.groupBy(*key).agg(
         F.count_if("ok").alias("ok"), F.count_if(~F.col("ok")).alias("err")
     )
+    out = join_groups(reduce(DataFrame.union, given).distinct(), totals, key, "left")
     ranks = nearest_rank(long_measures(good, key, MEASURES), [*key, "stage"], "us", (50, 95, 99))
 
     def of(stage: str, p: str) -> Column:
@@ -119,19 +134,21 @@ def bench_summary(
         *[of("e2e", p).alias(f"{p}_us") for p in ("p50", "p95", "p99")],
         *[of(m, "p99").alias(f"{m}_p99_us") for m in MEASURES[1:]],
     )
-    zero_filled = [c for c in wide.columns if c not in key]
-    out = out.join(wide, key, "left")
+    zero_filled = ["ok", "err", *[c for c in wide.columns if c not in key]]
+    out = join_groups(out, wide, key, "left")
     if levels is not None:
-        out = out.join(levels.groupBy(*key).agg(F.sum("dropped").alias("dropped")), key, "left")
+        dropped = levels.groupBy(*key).agg(F.sum("dropped").alias("dropped"))
+        out = join_groups(out, dropped, key, "left")
     else:
         out = out.withColumn("dropped", F.lit(0).cast("long"))
     zero_filled.append("dropped")
     if ticks is not None:
-        out = out.join(bench_lag(ticks), key, "left").join(missed_ticks(ticks), key, "left")
+        out = join_groups(out, bench_lag(ticks), key, "left")
+        out = join_groups(out, missed_ticks(ticks), key, "left")
         zero_filled += ["bench_lag_p99_us", "bench_lag_max_us", "missed_ticks_total"]
     if scrapes is not None:
         counters = scrape_counters(scrapes).groupBy(*key).agg(*[F.max(c).alias(c) for c in COUNTERS])
-        out = out.join(counters, key, "left")
+        out = join_groups(out, counters, key, "left")
     return out.fillna(0, zero_filled)
 
 

@@ -11,7 +11,7 @@ COUNTERS = (
     "router_l2_skipped_budget_total",
     "router_timeout_before_l2_total",
 )
-_NUMBER = r"(?i)^[+-]?(inf|infinity|nan|[0-9]+[.]?[0-9]*(e[+-]?[0-9]+)?|[.][0-9]+(e[+-]?[0-9]+)?)$"
+_NUMBER = r"[+-]?(?:inf|infinity|nan|[0-9]+[.]?[0-9]*(?:e[+-]?[0-9]+)?|[.][0-9]+(?:e[+-]?[0-9]+)?)"
 
 
 def scrape_counters(scrapes: DataFrame, body: str = "body") -> DataFrame:
@@ -21,15 +21,9 @@ def scrape_counters(scrapes: DataFrame, body: str = "body") -> DataFrame:
     are no number are skipped, and the last line of a name wins. A dump is
     one row and is read within it, so there is no shuffle.
     """
-    words = F.transform(
-        F.split(body, "\n"), lambda line: F.regexp_extract_all(line, F.lit(r"(\S+)"), F.lit(1))
-    )
-    lines = F.filter(
-        words, lambda w: (F.size(w) >= 2) & F.element_at(w, 2).rlike(_NUMBER)
-    )
-    df = scrapes.withColumn("_lines", lines)
+    out = scrapes
     for name in COUNTERS:
-        mine = F.filter("_lines", lambda w: F.element_at(w, 1) == name)
-        last = F.try_element_at(F.try_element_at(mine, F.lit(-1)), F.lit(2))
-        df = df.withColumn(name, last.try_cast("double"))
-    return df.drop("_lines")
+        line = rf"(?m)(?d)^[^\S\n]*{name}[^\S\n]+((?i:{_NUMBER}))(?=\s|$)"
+        found = F.regexp_extract_all(body, F.lit(line), F.lit(1))
+        out = out.withColumn(name, F.try_element_at(found, F.lit(-1)).try_cast("double"))
+    return out

@@ -49,14 +49,37 @@ def test_planted_knee(spark):
     for r in got.orderBy("rps").collect():
         p99.setdefault(r.runtime, []).append(r.p99_us)
     assert p99 == {
-        "a": [22313, 21861, 22325, 22487, 21718, 44066, 39640, 49532],
-        "b": [26876, 20994, 24197, 18235, 19785, 44536, 48726, 44480],
+        "a": [22313, 21861, 0, 22487, 21718, 44066, 39640, 49532],
+        "b": [26876, 20994, 24197, 18235, 19785, 44536, 48726],
     }
     rows = knee.find_knee(got).collect()
     assert {r.knee_rps for r in rows} == {6000}
     assert max(r.rps for r in rows) == 6000 and len(rows) == 12
 
 
+def test_levels_without_samples_are_rows(spark):
+    samples = spark.createDataFrame(
+        [("a", 1000, True, 5), ("a", 3000, False, 7), (None, 1000, True, 9)],
+        "runtime string, rps long, ok boolean, us long",
+    ).selectExpr("runtime", "rps", "ok", *[f"us AS {m}_us" for m in load_stats.MEASURES])
+    levels = spark.createDataFrame(
+        [("a", 1000, 0), ("a", 2000, 50), (None, 1000, 0)], "runtime string, rps long, dropped long"
+    )
+    ticks = spark.createDataFrame([("a", 4000, 1, 2_500)], "runtime string, rps long, seq long, lag_ns long")
+    got = load_stats.bench_summary(samples, ticks, levels)
+    rows = {
+        (r.runtime, r.rps): (r.ok, r.err, r.dropped, r.p99_us, r.bench_lag_max_us) for r in got.collect()
+    }
+    assert rows == {
+        ("a", 1000): (1, 0, 0, 5, 0),
+        ("a", 2000): (0, 0, 50, 0, 0),
+        ("a", 3000): (0, 1, 0, 0, 0),
+        ("a", 4000): (0, 0, 0, 0, 2),
+        (None, 1000): (1, 0, 0, 9, 0),
+    }
+    assert {r.knee_rps for r in knee.find_knee(got).collect()} == {2000}
+
+
 def test_summary_without_ok_samples(spark):
     samples = spark.createDataFrame(
         [("a", 1000, False, 5, 5, 5, 5, 5, 5)],

@@ -3,10 +3,11 @@
 import pytest
 
 import __spark_entry__ as entry
+from cardwatch.checks import oracle, queries
 from tests.check import differences, duck
 from tests.conftest import SF001
 
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = queries.queries(), oracle.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -23,6 +24,11 @@ def test_rows_match_sql(spark, con, name):
     assert differences(spark, con, QUERIES[name], SQL[name], SF001) is None
 
 
+def test_entry_has_every_query():
+    assert entry.queries().items() >= QUERIES.items()
+    assert entry.oracle_sql().items() >= SQL.items()
+
+
 def test_entry(spark):
     df = entry.entry(spark)
     assert df.count() == 1000

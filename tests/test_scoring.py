@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from cardwatch.config import Config
 from cardwatch.functions import features as X
 from cardwatch.functions import scoring as S
-from cardwatch.models import LinearModel, default_models, weights_table
+from cardwatch.models import BIAS, LinearModel, default_models, weights_table
 from cardwatch.operators.features import feature_long
 from cardwatch.operators.linear_long import linear_score_long
 from cardwatch.plans.score import score_transactions, with_scores
@@ -68,6 +68,25 @@ def test_band_and_thresholds(spark):
     assert got == ["allow", "manual_review", "manual_review", "deny"]
 
 
+def test_nan_reaches_no_threshold(spark):
+    nan = float("nan")
+    assert column(spark, [nan, 0.9], lambda v: S.decide(v, None, CFG)) == ["allow", "deny"]
+    df = features(spark, (1, 0, 0.2, 1, {"velocity_60s": nan}))
+    items = df.select(S.reasons(F.lit(False)).alias("r")).first().r
+    assert {i.signal: i.direction for i in items}["velocity_60s"] == "risk_down"
+
+
+def test_first_of_equal_names_counts(spark):
+    rows = [(1, "x", 2.0, 1), (1, "x", 1.0, 0)]
+    frame = spark.createDataFrame(rows, "id int, name string, value double, position int")
+    weights = spark.createDataFrame(
+        [("m", "x", 1.0), ("m", "bias", 0.0)], "model string, feature string, weight double"
+    ).replace("bias", BIAS)
+    by_place = linear_score_long(frame, weights, ["id"]).first().score
+    by_value = linear_score_long(frame.drop("position"), weights, ["id"]).first().score
+    assert by_place == by_value == pytest.approx(0.731059, abs=1e-6)
+
+
 def test_budget(spark):
     got = column(
         spark, [None, 8_999, 9_000, 9_999, 10_000, 10_001],
