@@ -10,7 +10,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cardwatch.llm.shared import numbered, stage
+from cardwatch.llm.shared import stage
 
 #: Frequent function words of the languages served; fixed values.
 STOP_WORDS = (
@@ -80,7 +80,9 @@ def measured(docs: DataFrame, *, text_col: str = "text", out: str = "quality") -
         F.col("_sentences").cast("long").alias("n_sentences"),
         stops.cast("long").alias("n_stop_words"),
     )
-    return base.select(*kept, measures.alias(out))
+    # A generator keeps later filters on the measures above it, so that they read them
+    # instead of repeating their expressions.
+    return base.select(*kept, F.explode(F.array(measures)).alias(out))
 
 
 def _vote(bad: Column, good: Column) -> Column:
@@ -221,9 +223,16 @@ def judge(
 
 
 def filter_good(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5
+    docs: DataFrame, *, text_col: str = "text", threshold: float = 0.5
 ) -> DataFrame:
-    """The rows that `judge` keeps, with their own columns. Texts are measured once."""
-    rows, key = numbered(docs, id_col, text_col)
-    judged = judge(rows.select(key, text_col), text_col=text_col, threshold=threshold)
-    return rows.join(judged.filter("kept").select(key), key, "left_semi").drop(key)
+    """The rows that `judge` keeps, with their own columns.
+
+    Texts are measured twice, for the model and for the verdict: that moves no text, which
+    joining verdicts to texts would.
+    """
+    out = "_quality"
+    while out in docs.columns:
+        out = f"_{out}"
+    model = fit(measured(docs.select(text_col), text_col=text_col, out=out), rules(out))
+    rows = measured(docs, text_col=text_col, out=out)
+    return rows.filter(kept(model, out, threshold)).drop(out)

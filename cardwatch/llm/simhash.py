@@ -165,5 +165,6 @@ def drop_near_duplicates(
     found = near_duplicates(
         rows.select(key, text_col), id_col=key, text_col=text_col, radius=radius
     )
-    firsts = found.filter(F.col(key) == F.col("component_id")).select(key)
+    # Hashing the ids spares sorting the texts.
+    firsts = found.filter(F.col(key) == F.col("component_id")).select(key).hint("shuffle_hash")
     return rows.join(firsts, key, "left_semi").drop(key)

@@ -113,7 +113,9 @@ def dedup_substrings(
         keep_first=True,
         resolve=later_windows(window),
     )
-    joined = rows.join(gone.withColumnRenamed("key", ROW), ROW, "left")
+    # Hashing the ranges spares sorting the texts.
+    gone = gone.withColumnRenamed("key", ROW).hint("shuffle_hash")
+    joined = rows.join(gone, ROW, "left")
     remove = F.arrow_udf(_remove, RESULT_DDL)
     return joined.select(F.col("_id").alias(id_col), remove("_text", "ranges").alias("r")).select(
         id_col, "r.*"
