@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -15,16 +14,12 @@ ROW = "_row_key"
 def shared_root(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir.
 
-    A local folder is made only where that is unset and Spark runs in one process.
+    Where that is unset, a folder in the warehouse, which they share as well.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    root = tempfile.mkdtemp(prefix="llm-shared-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    if not root:
+        root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_written"
+    return root.rstrip("/")
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
