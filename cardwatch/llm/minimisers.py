@@ -26,7 +26,7 @@ CLASSES = 1 << 16
 #: A class is frequent beyond so many times the mean; a task reports a class beyond half.
 FREQUENT = 8
 #: Bytes of text worked on at a time, and bytes of packed runs meant for a bucket.
-BLOCK, BUCKET = 2_000_000, 4_000_000
+BLOCK, BUCKET = 1_000_000, 4_000_000
 
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -34,7 +34,9 @@ TOP = np.uint64(1 << 63)
 #: Low bits of an ordering key that hold the place, so that of equal m-grams the first counts.
 PLACE = np.uint64(28)
 #: Bytes of text whose equal runs are put together before they travel.
-TOGETHER = 16_000_000
+TOGETHER = 8_000_000
+#: Compression of packed runs.
+LEVEL = 6
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -136,9 +138,10 @@ class Windows:
         )
 
 
-@dataclass
+@dataclass(slots=True)
 class Run:
-    """A packed run: its text, its minimiser's hash, and where it occurs: (row key, unit)."""
+    """A packed run: its text, 32 bits of its minimiser's hash, and where it occurs: (row
+    key, unit)."""
 
     text: bytes
     gram: int
@@ -151,14 +154,15 @@ Marks = list[tuple[int, int, int]]
 Resolve = Callable[[list[Run]], Marks]
 
 RANGES = pa.schema([("key", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
-RUN_FIELDS = tuple(map(np.dtype, ("<i8", "<i8", "<i8", "<i8", "<u8")))
+#: Differences of row keys; first units; windows; bytes of text; minimisers.
+RUN_FIELDS = tuple(map(np.dtype, ("<i8", "<u4", "<u2", "<u4", "<u4")))
 RANGE_FIELDS = tuple(map(np.dtype, ("<i8", "<i8", "<i8")))
 
 
 def pack_blob(fields: tuple[np.dtype, ...], columns: list, text: bytes = b"") -> bytes:
     arrays = [np.array(c, k) for c, k in zip(columns, fields, strict=True)]
     head = np.array([len(arrays[0])], "<i8").tobytes()
-    return zstandard.compress(head + b"".join(a.tobytes() for a in arrays) + text, 3)
+    return zstandard.compress(head + b"".join(a.tobytes() for a in arrays) + text, LEVEL)
 
 
 def unpack_blob(fields: tuple[np.dtype, ...], blob: bytes) -> tuple[list[np.ndarray], bytes]:
@@ -232,14 +236,14 @@ def _pack_runs(windows: Windows, frequent: np.ndarray, buckets: int, keep_first:
                 run.places.sort()
                 rest = run.places[1:] if keep_first else run.places
                 marks += [(key, unit, run.windows) for key, unit in rest]
-        runs = sorted(known.values(), key=lambda r: (r.gram >> 16) % buckets)
-        owners = np.array([(r.gram >> 16) % buckets for r in runs], np.int64)
+        runs = sorted(known.values(), key=lambda r: r.gram % buckets)
+        owners = np.array([r.gram % buckets for r in runs], np.int64)
         edges = np.flatnonzero(np.diff(owners, prepend=-1, append=-1))
         out = []
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
             own = runs[a:b]
             columns = [
-                [r.places[0][0] for r in own],
+                np.diff([r.places[0][0] for r in own], prepend=0),
                 [r.places[0][1] for r in own],
                 [r.windows for r in own],
                 [len(r.text) for r in own],
@@ -259,10 +263,9 @@ def _pack_runs(windows: Windows, frequent: np.ndarray, buckets: int, keep_first:
         size = 0
         for batch in batches:
             for block in blocks(batch, windows):
-                document, unit, count, start, end, gram = (
-                    x.tolist() for x in windows.runs(block, frequent)
-                )
-                for d, u, n, a, b, g in zip(document, unit, count, start, end, gram, strict=True):
+                *columns, gram = windows.runs(block, frequent)
+                columns = [c.tolist() for c in (*columns, gram & np.uint64(2**32 - 1))]
+                for d, u, n, a, b, g in zip(*columns, strict=True):
                     text, place = block.data[a:b], (block.keys[d], u)
                     have = known.get(text)
                     if have:
@@ -290,6 +293,7 @@ def _resolve_bucket(windows: Windows, keep_first: bool, resolve: Resolve):
                 passed.append(unpack_blob(RANGE_FIELDS, blob)[0])
                 continue
             columns, data = unpack_blob(RUN_FIELDS, blob)
+            columns[0] = np.cumsum(columns[0])
             at = 0
             for key, unit, n, size, gram in zip(*(c.tolist() for c in columns), strict=True):
                 text = data[at : at + size]
