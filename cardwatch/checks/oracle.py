@@ -215,6 +215,14 @@ judged AS (SELECT *, CASE WHEN dropped > 0 THEN 'dropped ' || dropped
      AND p99_us > prev_p99_us + 200 THEN concat_ws(' ', 'p99', prev_p99_us, 'to', p99_us) END AS reason
   FROM prev)"""
 
+_SUMMARY_NUMBERS = (
+    "rps", "ok", "err", "dropped", "p50_us", "p95_us", "p99_us", *[f"{m}_p99_us" for m in _STAGES],
+    "bench_lag_p99_us", "bench_lag_max_us", "missed_ticks_total",
+)
+_COUNTERS = (
+    "router_l2_trigger_total", "router_deadline_miss_total", "router_l2_skipped_budget_total",
+    "router_timeout_before_l2_total",
+)
 _ROUTER = """count(*) FILTER (WHERE route = 'l2') AS router_l2_trigger_total,
   count(*) FILTER (WHERE decision = 'degrade_allow') AS router_deadline_miss_total,
   count(*) FILTER (WHERE route = 'skipped_budget') AS router_l2_skipped_budget_total,
@@ -233,6 +241,24 @@ _RESPONSES = f"""WITH {_scored()}, t AS (SELECT *, {_HASH} FROM scored)
   SELECT {_TRACE} AS trace_id, {_round('score')}, decision, {_ITEMS} FROM t"""
 
 
+def _distribution(stage: str, us: str) -> str:
+    bounds = (1_000, 5_000, 10_000)
+    counts = [
+        f"count(*) FILTER (WHERE {us} <= {high} AND {us} > {low}) AS {stage}_le_{high}us"
+        for low, high in zip((-1, *bounds), bounds)
+    ]
+    return ", ".join(
+        [
+            f"count({us}) AS {stage}_n",
+            f"CAST(sum({us}) AS bigint) AS {stage}_sum_us",
+            f"min({us}) AS {stage}_min_us",
+            f"max({us}) AS {stage}_max_us",
+            *counts,
+            f"count(*) FILTER (WHERE {us} > 10000) AS {stage}_gt_10000us",
+        ]
+    )
+
+
 def _evidence() -> str:
     items = [
         f"SELECT arrival_seq, CAST({i} AS integer) AS pos, '{s}' AS signal, round({s}, 6) AS value, "
@@ -259,12 +285,13 @@ def _model(expression: str) -> str:
 
 _SIGNALS = ", ".join(f"CASE WHEN {s} > {limit}::double THEN '{s}' END" for s, _, limit in _EVIDENCE)
 _DEAD = f"""WITH tx AS ({_TX}), c AS (
-  SELECT *, CASE arrival_seq % 12 WHEN 0 THEN 'channel' WHEN 1 THEN 'missing: amount'
+  SELECT *, CASE arrival_seq % 16 WHEN 0 THEN 'channel' WHEN 1 THEN 'missing: amount'
     WHEN 2 THEN 'type: amount' WHEN 3 THEN 'range: mcc' WHEN 4 THEN 'syntax'
-    WHEN 7 THEN 'trace_id' WHEN 8 THEN 'type: user_id' ELSE 'valid' END AS cause FROM tx)
+    WHEN 7 THEN 'trace_id' WHEN 8 THEN 'type: user_id' WHEN 10 THEN 'type: mcc'
+    WHEN 11 THEN 'range: amount' WHEN 13 THEN 'trace_id' ELSE 'valid' END AS cause FROM tx)
   SELECT arrival_seq, cause, CASE WHEN cause = 'valid' THEN user_id END AS user_id,
-    CASE WHEN cause = 'valid' THEN CASE WHEN arrival_seq % 12 = 6 THEN 5 ELSE amount END END AS amount,
-    CASE WHEN arrival_seq % 12 = 9 THEN {_UUID} END AS trace_id
+    CASE WHEN cause = 'valid' THEN CASE WHEN arrival_seq % 16 = 6 THEN 5 ELSE amount END END AS amount,
+    CASE WHEN arrival_seq % 16 IN (9, 12, 14) THEN {_UUID} END AS trace_id
   FROM c"""
 
 
@@ -293,9 +320,13 @@ def oracle_sql() -> dict[str, str]:
             FROM events""",
         "scrape_counters": f"WITH {_LOAD} SELECT * EXCLUDE (runtime, rps) FROM counters",
         "sink_scored": _RESPONSES,
-        "sink_bench_csv": f"""WITH {_SUMMARY} SELECT runtime, 'http://x/score?a=1,"b"' AS url, rps, ok,
-            dropped, p99_us, CAST(router_l2_trigger_total AS bigint) AS router_l2_trigger_total,
-            missed_ticks_total FROM summary""",
+        "sink_bench_csv": f"""WITH {_SUMMARY} SELECT '1700000000000' AS ts_ms, runtime,
+            CASE runtime WHEN 'a' THEN 'http://x/score?a=1,"b"' ELSE 'http://y/score' END AS url,
+            CASE runtime WHEN 'a' THEN 'http://x/metrics' ELSE 'http://y/metrics' END AS metrics_url,
+            '20' AS duration_s, '200' AS concurrency,
+            {', '.join(f"CAST({c} AS varchar) AS {c}" for c in _SUMMARY_NUMBERS)},
+            {', '.join(f"printf('%.0f', {c}) AS {c}" for c in _COUNTERS)}
+            FROM summary""",
         "trace_id": f"""WITH tx AS (SELECT *, {_HASH} FROM ({_TX})) SELECT arrival_seq,
             CASE WHEN arrival_seq % 2 = 0 THEN {_UUID} ELSE {_TRACE} END AS trace_id FROM tx""",
         "amount_log": _tx("round(ln(greatest(amount - 20, 0.01::double)), 6) AS amount_log"),
@@ -377,6 +408,10 @@ def oracle_sql() -> dict[str, str]:
             SELECT {_TRACE} AS trace_id, {_round('score')}, decision, {_ITEMS} FROM t""",
         "stream_future_clamp": f"""WITH {_lateness(_CLAMP)}
             SELECT user_id, arrival_seq, inter_arrival_ms, oo_order_flag FROM l""",
-        "stream_metrics": f"""WITH {_scored()} SELECT event_time_ms // 3600000 * 3600000
-            AS window_start_ms, {_ROUTER} FROM scored GROUP BY window_start_ms""",
+        "stream_metrics": f"""WITH {_scored()} SELECT event_time_ms // 60000 * 60000
+            AS window_start_ms, {_ROUTER}, {_distribution('before', 'elapsed_before_l2_us')},
+            {_distribution('total', 'elapsed_total_us')} FROM scored GROUP BY window_start_ms
+            HAVING window_start_ms + 60000 <= (SELECT max(event_time_ms) FROM scored) - 600000""",
+        "stream_dead_letters": f"""SELECT cause, count(*) AS n, count(*) AS numbers
+            FROM ({_DEAD}) WHERE cause <> 'valid' GROUP BY cause""",
     }

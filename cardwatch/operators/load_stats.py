@@ -152,15 +152,17 @@ def bench_summary(
     return out.fillna(0, zero_filled)
 
 
-def router_counters(scored: DataFrame, *by: str | Column) -> DataFrame:
-    """Totals of what the router did, over everything or per group."""
+def router_counters(
+    scored: DataFrame, *by: str | Column, more: tuple[Column, ...] = ()
+) -> DataFrame:
+    """Totals of what the router did, and `more` aggregates, over everything or per group."""
     totals = [
         F.count_if(F.col("route") == "l2").alias("router_l2_trigger_total"),
         F.count_if(F.col("decision") == "degrade_allow").alias("router_deadline_miss_total"),
         F.count_if(F.col("route") == "skipped_budget").alias("router_l2_skipped_budget_total"),
         F.count_if(F.col("route") == "timeout_before_l2").alias("router_timeout_before_l2_total"),
     ]
-    return scored.groupBy(*by).agg(*totals)
+    return scored.groupBy(*by).agg(*totals, *more)
 
 
 def decision_mix(scored: DataFrame) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -42,16 +41,20 @@ SUMMARY_COLUMNS = (
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the cluster's shared `spark.checkpoint.dir`.
-
-    Only where that is unset, as on one machine, a local folder is used.
-    """
+    """A new folder below `spark.checkpoint.dir`, which all executors must share."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        return tempfile.mkdtemp(prefix="cardwatch-")
+    if not shared:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{shared.rstrip('/')}/cardwatch-{uuid.uuid4()}"
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Removes what a query has written and nobody reads any more."""
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(hadoop).delete(where, True)
+
+
 def response_json(scored: DataFrame) -> DataFrame:
     """Scored rows as JSON lines in the response form."""
     return scored.select(F.to_json(F.struct(*RESPONSE_COLUMNS)).alias("value"))
@@ -64,22 +67,31 @@ def sink_scored(scored: DataFrame, path: str, format: str = "json", mode: str =
 def summary_rows(
     summary: DataFrame,
     ts_ms: Column | None = None,
-    url: str = "",
-    metrics_url: str = "",
+    urls: dict[str, tuple[str, str]] | None = None,
     duration_s: int = 20,
     concurrency: int = 200,
 ) -> DataFrame:
-    """The summary in the file's columns; counters without decimals, absent ones empty."""
+    """The summary in the file's columns; counters without decimals, absent ones empty.
+
+    urls: for each runtime its own (url, metrics_url); empty for others.
+    """
+
+    def target(which: int) -> Column:
+        found = F.lit("")
+        for runtime, pair in (urls or {}).items():
+            found = F.when(F.col("runtime") == runtime, pair[which]).otherwise(found)
+        return found
+
     given = {
         "ts_ms": F.unix_millis(F.current_timestamp()) if ts_ms is None else ts_ms,
-        "url": F.lit(url),
-        "metrics_url": F.lit(metrics_url),
+        "url": target(0),
+        "metrics_url": target(1),
         "duration_s": F.lit(duration_s),
         "concurrency": F.lit(concurrency),
     }
     for c in COUNTERS:
         value = F.col(c) if c in summary.columns else F.lit(None).cast("double")
-        given[c] = F.when(value.isNotNull(), F.format_string("%.0f", value))
+        given[c] = F.when(value.isNotNull(), F.format_string("%.0f", F.rint(value)))
     return summary.select(*[given.get(c, F.col(c)).alias(c) for c in SUMMARY_COLUMNS])
 
 

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from cardwatch.schemas import CHANNELS, REQUEST, REQUIRED
 
-_UUID = "^[0-9a-fA-F]{8}-?([0-9a-fA-F]{4}-?){3}[0-9a-fA-F]{12}$"
+# Forms of an id that are accepted; all are brought to the hyphenated one in lower case.
+_PLAIN = "[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"
+_UUID = f"^([0-9a-fA-F]{{32}}|{_PLAIN}|[{{]{_PLAIN}[}}]|urn:uuid:{_PLAIN})$"
 
 
 def json_kind(doc: str, path: str) -> str:
@@ -14,6 +16,16 @@ def json_kind(doc: str, path: str) -> str:
     return f"schema_of_variant(variant_get({doc}, '$.{path}', 'variant'))"
 
 
+def _kind(name: str, kind: str) -> str:
+    """The kind of a field. An integer that fits is a BIGINT; a whole decimal that would
+    fit was written with a fraction, so it is no integer."""
+    if kind not in ("bigint", "int"):
+        return json_kind("_doc", name)
+    fits = f"try_variant_get(_doc, '$.{name}', 'bigint') IS NOT NULL"
+    found = json_kind("_doc", name)
+    return f"CASE WHEN {found} LIKE 'DECIMAL%' AND {fits} THEN 'FRACTION' ELSE {found} END"
+
+
 def decode_requests(raw: DataFrame, value: str = "value") -> DataFrame:
     """Adds the request columns and `cause`: null when the line keeps the contract.
 
@@ -21,7 +33,7 @@ def decode_requests(raw: DataFrame, value: str = "value") -> DataFrame:
     a number is no string and a string no number. Unknown fields are ignored.
     """
     names = [f.name for f in REQUEST.fields]
-    kinds = ", ".join(f"coalesce({json_kind('_doc', name)}, 'VOID')" for name in names)
+    kinds = ", ".join(f"coalesce({_kind(f.name, f.dataType.simpleString())}, 'VOID')" for f in REQUEST.fields)
     typed = (
         raw.withColumn("_doc", F.try_parse_json(value))
         .select(
@@ -38,9 +50,11 @@ def decode_requests(raw: DataFrame, value: str = "value") -> DataFrame:
     # verdict instead of repeating the parsing in the filter.
     judged = F.array(F.struct(F.expr(_cause()).alias("cause"), *names))
     out = typed.select(*raw.columns, F.inline(judged).alias("cause", *names))
-    return out.select(
-        *raw.columns, "cause", *[F.expr(f"CASE WHEN cause IS NULL THEN {c} END").alias(c) for c in names]
-    )
+    valid = {c: f"CASE WHEN cause IS NULL THEN {c} END" for c in names}
+    digits = "lower(replace(replace(replace(replace(trace_id, 'urn:uuid:', ''), '-', ''), '{', ''), '}', ''))"
+    groups = "^(.{8})(.{4})(.{4})(.{4})(.{12})$"
+    valid["trace_id"] = f"CASE WHEN cause IS NULL THEN regexp_replace({digits}, '{groups}', '$1-$2-$3-$4-$5') END"
+    return out.select(*raw.columns, "cause", *[F.expr(e).alias(c) for c, e in valid.items()])
 
 
 # JSON kinds a column accepts; whole decimals are integers too long for BIGINT.
@@ -78,6 +92,7 @@ def _cause() -> str:
         for name, kind in types.items()
         if kind in ("bigint", "int")
     )
+    ranges += " WHEN abs(amount) = double('infinity') THEN 'range: amount'"
     channels = ", ".join(map(repr, CHANNELS))
     values = (
         f"CASE {ranges} WHEN channel NOT IN ({channels}) THEN 'channel' "

@@ -44,7 +44,7 @@ def transactions(events: DataFrame) -> DataFrame:
 def faulty_requests(tx: DataFrame) -> DataFrame:
     """Request lines of all transactions, with a fault planted by arrival number."""
     line = F.to_json(F.struct(*[c for c in tx.columns if c not in _NOT_SENT]))
-    fault = F.col("arrival_seq") % 12
+    fault = F.col("arrival_seq") % 16
 
     def swap(pattern: str, new: str) -> Column:
         return F.regexp_replace(line, pattern, new)
@@ -60,6 +60,11 @@ def faulty_requests(tx: DataFrame) -> DataFrame:
         .when(fault == 7, swap("^\\{", '{"trace_id":"not-an-id",'))
         .when(fault == 8, swap('"user_id":"u_', '"user_id":7,"was":"'))
         .when(fault == 9, swap("^\\{", '{"trace_id":"3f2b8c1e-9a47-4d16-8e55-0b7c6d2a1f90",'))
+        .when(fault == 10, swap('("mcc":[0-9]+)', "$1.0"))
+        .when(fault == 11, swap('"amount":[^,]+,', '"amount":1e400,'))
+        .when(fault == 12, swap("^\\{", '{"trace_id":"{3F2B8C1E-9a47-4d16-8e55-0b7c6d2a1f90}",'))
+        .when(fault == 13, swap("^\\{", '{"trace_id":"3f2b8c1e9a474d16-8e55-0b7c6d2a1f90",'))
+        .when(fault == 14, swap("^\\{", '{"trace_id":"urn:uuid:3f2b8c1e-9a47-4d16-8e55-0b7c6d2a1f90",'))
         .otherwise(line)
     )
     return tx.select("arrival_seq", value.alias("value"))

@@ -2,37 +2,45 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cardwatch.config import Config
 from cardwatch.schemas import RESPONSE
-from cardwatch.sinks import RESPONSE_COLUMNS, shared_folder
+from cardwatch.sinks import RESPONSE_COLUMNS, remove_folder, shared_folder
 from cardwatch.sources.requests import dead_letter_split, encode_requests
-from cardwatch.sources.tables import read_table, transactions
+from cardwatch.sources.tables import faulty_requests, read_table, transactions
 from cardwatch.streaming import score
 from cardwatch.streaming.state import store_features_stream
 
 CFG = Config()
+#: Files, and so micro-batches, that a table is published in.
+CHUNKS = 5
 
 
-def _run(spark: SparkSession, rows: DataFrame, folder: str, schema) -> DataFrame:
+def _run(spark: SparkSession, rows: DataFrame, folder: str, schema, name: str = "out") -> DataFrame:
     """Runs the stream over what is there and reads the files it wrote."""
     query = score.start_sink(
-        rows, f"{folder}/out", f"{folder}/checkpoint", format="parquet", available_now=True
+        rows, f"{folder}/{name}", f"{folder}/{name}-state", format="parquet", available_now=True
     )
     query.awaitTermination()
-    return spark.read.schema(schema).parquet(f"{folder}/out")
+    remove_folder(spark, f"{folder}/{name}-state")
+    return spark.read.schema(schema).parquet(f"{folder}/{name}")
 
 
-def _requests(spark: SparkSession, d: str) -> tuple[DataFrame, str]:
-    """The whole `events` table as request files, opened as a stream."""
+def _requests(
+    spark: SparkSession, d: str, chunks: int = CHUNKS, **options: str
+) -> tuple[DataFrame, str]:
+    """The whole `events` table as request files in arrival order, opened as a stream.
+
+    One file a micro-batch, so users have rows in several and state is read back.
+    """
     folder = shared_folder(spark)
     tx = transactions(read_table(spark, d, "events"))
-    encode_requests(tx).write.json(f"{folder}/in")
-    valid, _ = dead_letter_split(score.read_requests(spark, f"{folder}/in"))
+    score.publish(encode_requests(tx), f"{folder}/in", chunks)
+    options = options or {"maxFilesPerTrigger": "1"}
+    valid, _ = dead_letter_split(score.read_requests(spark, f"{folder}/in", **options))
     return valid, folder
 
 
@@ -71,23 +79,35 @@ def stream_clamped(spark, d):
 
 
 def stream_counters(spark, d):
-    """Scored rows as one stream, its sink as the input of the counter stream."""
+    """Scored rows as one stream, its sink as the input of the counter stream.
+
+    Windows of a minute, closed ones only. The lateness is longer than the time that a
+    micro-batch of scoring spans, whose files come in any order.
+    """
     tx, folder = _requests(spark, d)
-    scored = score.stream_scored_features(tx, cfg=CFG).select("event_time_ms", "route", "decision")
+    names = ("event_time_ms", "route", "decision", "before_us", "total_us")
+    scored = (
+        score.stream_scored_features(tx, cfg=CFG)
+        .withColumnsRenamed({"elapsed_before_l2_us": "before_us", "elapsed_total_us": "total_us"})
+        .select(*names)
+    )
     _run(spark, scored, folder, scored.schema)
-    log = spark.readStream.schema(scored.schema).parquet(f"{folder}/out")
-    name = f"counters_{uuid.uuid4().hex}"
-    query = (
-        score.stream_metrics(log)
-        .writeStream.format("memory")
-        .queryName(name)
-        .outputMode("complete")
-        .option("checkpointLocation", f"{folder}/counters")
-        .trigger(availableNow=True)
-        .start()
+    log = spark.readStream.schema(scored.schema).option("maxFilesPerTrigger", "4")
+    counted = score.stream_metrics(
+        log.parquet(f"{folder}/out"), "1 minute", "10 minutes", ("before", "total")
     )
-    query.awaitTermination()
-    return spark.table(name)
+    return _run(spark, counted, folder, counted.schema, "counters")
+
+
+def stream_dead_letters(spark, d):
+    """Plain request lines with planted faults: lines of each cause that a stream sets aside."""
+    folder = shared_folder(spark)
+    lines = faulty_requests(transactions(read_table(spark, d, "events")))
+    score.publish(lines, f"{folder}/in", CHUNKS, text=True)
+    decoded = score.read_request_lines(spark, f"{folder}/in", maxFilesPerTrigger="1")
+    _, dead = dead_letter_split(decoded)
+    found = _run(spark, dead, folder, dead.schema)
+    return found.groupBy("cause").agg(F.count("*").alias("n"), F.count_distinct("arrival_seq").alias("numbers"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -96,4 +116,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "stream_score": stream_responses,
         "stream_future_clamp": stream_clamped,
         "stream_metrics": stream_counters,
+        "stream_dead_letters": stream_dead_letters,
     }

@@ -23,17 +23,59 @@ def read_requests(
     """Stream of decoded request lines from JSON files, with `cause` of a dead letter.
 
     Arrival order across micro-batches is the order of the files; within one it
-    is `arrival_seq`. A micro-batch takes at most `maxBytesPerTrigger` of files, so
-    that also a user with a third of the traffic fits in a task. `ingest_time_ms`
-    is the "now" of the future clamp: pass `now_ms()` in production, nothing for
-    a replay.
+    is `arrival_seq`. So files must come in arrival order, as `publish` writes them; where
+    micro-batches are cut then changes nothing but the work of each. One of
+    `maxFilesPerTrigger` and `maxBytesPerTrigger` can be given to bound that; 2 GB is
+    taken if neither is. `ingest_time_ms` is the "now" of the future clamp: pass `now_ms()`
+    in production, nothing for a replay.
     """
-    limits = {} if "maxFilesPerTrigger" in options else {"maxBytesPerTrigger": str(2 * 1024**3)}
+    given = {"maxFilesPerTrigger", "maxBytesPerTrigger"} & options.keys()
+    limits = {} if given else {"maxBytesPerTrigger": str(2 * 1024**3)}
     lines = spark.readStream.schema(LINES).options(**limits | options).json(path)
     decoded = decode_requests(lines).drop("value")
     return decoded if ingest_time_ms is None else decoded.withColumn("ingest_time_ms", ingest_time_ms)
 
 
+def read_request_lines(
+    spark: SparkSession, path: str, stream: bool = True, **options: str
+) -> DataFrame:
+    """Decoded plain request lines, one per line of text files, with arrival numbers.
+
+    The number of a line is its file's modification time in ms, times 2 ** 22, plus its
+    place in the file. So files must differ in that time, as files of one writer do, and
+    have under 4 million lines; a file is one task's work. Lines that carry numbers of
+    their own are read by `read_requests`.
+    """
+    reader = spark.readStream if stream else spark.read
+    files = reader.options(**options).text(path, wholetext=True)
+    time = F.unix_millis("_metadata.file_modification_time")
+    lines = files.select(time.alias("time"), F.posexplode(F.split("value", "\r?\n")).alias("at", "value"))
+    lines = lines.filter(F.trim("value") != "")
+    return decode_requests(
+        lines.select((F.col("time") * 2**22 + F.col("at")).alias("arrival_seq"), "value")
+    )
+
+
+def publish(
+    lines: DataFrame, path: str, chunks: int = 8, order: str = "arrival_seq", text: bool = False
+) -> None:
+    """Writes lines in arrival order: as JSON with their columns, or as plain text.
+
+    Arrival is cut into `chunks` ranges of about equal size. Each becomes one file, sorted,
+    by a job of its own, so it is newer than all earlier ones. A reader may then take any
+    number of files at a time: what is cut changes no result. Choose `chunks` so that a
+    file is some 100 MB.
+    """
+    cuts = F.percentile_approx(order, [i / chunks for i in range(1, chunks)] or [1.0], 10_000)
+    edges = sorted({int(c) for c in lines.agg(cuts.alias("cuts")).first().cuts or ()})
+    at = F.coalesce(F.col(order), F.lit(-(2**63)))
+    for low, high in zip([None, *edges], [*edges, None], strict=True):
+        part = lines if low is None else lines.filter(at > low)
+        part = (part if high is None else part.filter(at <= high)).repartition(1)
+        writer = part.sortWithinPartitions(order).select("value") if text else part
+        (writer.write.mode("append").text if text else writer.write.mode("append").json)(path)
+
+
 def now_ms() -> Column:
     """Time of the micro-batch."""
     return F.unix_millis(F.current_timestamp())
@@ -56,8 +98,33 @@ def stream_score(
     return scored_record(stream_scored_features(tx, models, cfg), repeatable_ids)
 
 
-def with_live_counters(scored: DataFrame, name: str = "router") -> DataFrame:
-    """Counts per micro-batch, delivered to query listeners and `lastProgress`."""
+#: Upper bounds, in us, of the stages' histogram; the last one is open.
+BOUNDS_US = (1_000, 5_000, 10_000)
+
+
+def _distribution(stage: str) -> list[Column]:
+    """Count, total, extremes and histogram of a recorded stage time."""
+    us = F.col(f"{stage}_us")
+    edges = [*zip((None, *BOUNDS_US), (*BOUNDS_US, None), strict=True)]
+    inside = [
+        (F.lit(True) if low is None else us > low) & (F.lit(True) if high is None else us <= high)
+        for low, high in edges
+    ]
+    names = [*[f"{stage}_le_{high}us" for high in BOUNDS_US], f"{stage}_gt_{BOUNDS_US[-1]}us"]
+    return [
+        F.count(us).alias(f"{stage}_n"),
+        F.sum(us).alias(f"{stage}_sum_us"),
+        F.min(us).alias(f"{stage}_min_us"),
+        F.max(us).alias(f"{stage}_max_us"),
+        *[F.count_if(us.isNotNull() & c).alias(n) for c, n in zip(inside, names, strict=True)],
+    ]
+
+
+def with_live_counters(
+    scored: DataFrame, name: str = "router", stages: tuple[str, ...] = ()
+) -> DataFrame:
+    """Counts, and distributions of recorded stage times (columns `<stage>_us`), per
+    micro-batch, delivered to query listeners and `lastProgress`."""
     is_route = F.col("route")
     return scored.observe(
         name,
@@ -66,16 +133,26 @@ def with_live_counters(scored: DataFrame, name: str = "router") -> DataFrame:
         F.count_if(F.col("decision") == "degrade_allow").alias("router_deadline_miss_total"),
         F.count_if(is_route == "skipped_budget").alias("router_l2_skipped_budget_total"),
         F.count_if(is_route == "timeout_before_l2").alias("router_timeout_before_l2_total"),
+        *[c for stage in stages for c in _distribution(stage)],
     )
 
 
-def stream_metrics(scored: DataFrame, window: str = "1 hour", lateness: str = "1 hour") -> DataFrame:
-    """Router counters per event-time window. A report: the watermark is safe here."""
+def stream_metrics(
+    scored: DataFrame,
+    window: str = "1 hour",
+    lateness: str = "1 hour",
+    stages: tuple[str, ...] = (),
+) -> DataFrame:
+    """Router counters, and distributions of recorded stage times, per event-time window.
+
+    A report: the watermark is safe here. In append mode a window comes once, when it
+    lies a `lateness` behind.
+    """
     timed = scored.withColumn("event_time", F.timestamp_millis("event_time_ms"))
     windowed = timed.withWatermark("event_time", lateness)
-    return router_counters(windowed, F.window("event_time", window)).select(
-        F.unix_millis("window.start").alias("window_start_ms"), "*"
-    ).drop("window")
+    more = tuple(c for stage in stages for c in _distribution(stage))
+    counted = router_counters(windowed, F.window("event_time", window), more=more)
+    return counted.select(F.unix_millis("window.start").alias("window_start_ms"), "*").drop("window")
 
 
 def start_sink(

@@ -1,3 +1,6 @@
+from types import SimpleNamespace
+
+import pytest
 from pyspark.sql import functions as F
 
 from cardwatch import sinks
@@ -13,7 +16,7 @@ def test_summary_file(spark, tmp_path):
     )
     path = str(tmp_path / "summary")
     for i in range(2):
-        sinks.sink_bench_csv(sinks.summary_rows(row, F.lit(i), url="http://x"), path)
+        sinks.sink_bench_csv(sinks.summary_rows(row, F.lit(i), {"a,\"b\"": ("http://x", "http://x/m")}), path)
     text = spark.read.text(path).collect()
     headers = [r.value for r in text if r.value.startswith("ts_ms")]
     assert set(headers) == {",".join(sinks.SUMMARY_COLUMNS)} and len(headers) >= 2
@@ -25,5 +28,11 @@ def test_summary_file(spark, tmp_path):
     assert first.router_deadline_miss_total is None
 
 
+def test_no_folder_without_a_shared_one():
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda name, default: default))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        sinks.shared_folder(session)
+
+
 def test_shared_folder_follows_the_session(spark):
     assert sinks.shared_folder(spark).startswith(spark.conf.get("spark.checkpoint.dir"))

@@ -85,6 +85,42 @@ def test_stream_equals_batch_over_restarts(spark, tmp_path):
         assert tuple(got[seq][c] for c in STORE_FEATURES) == pytest.approx(values, abs=1e-6)
 
 
+@pytest.mark.parametrize(("chunks", "files"), [(1, "1"), (4, "1"), (16, "1"), (16, "3")])
+def test_cuts_change_no_result(spark, tmp_path, chunks, files):
+    rnd, clock, rows = random.Random(8), 1_700_000_000_000, []
+    for seq in range(400):
+        clock += rnd.choice([0, 50, 400, 3_000, 20_000])
+        rows.append((seq, json.dumps(request(rnd, seq, clock))))
+    rnd.shuffle(rows)
+    lines = spark.createDataFrame(rows, "arrival_seq long, value string").repartition(3)
+    score.publish(lines, str(tmp_path / "in"), chunks)
+    raw = score.read_requests(spark, str(tmp_path / "in"), maxFilesPerTrigger=files)
+    scored = score.stream_scored_features(dead_letter_split(raw)[0])
+    query = score.start_sink(
+        scored, str(tmp_path / "out"), str(tmp_path / "state"), "parquet", available_now=True
+    )
+    query.awaitTermination()
+    batches = sum(p.numInputRows > 0 for p in query.recentProgress)
+    assert batches == -(-chunks // int(files))
+    got = {r.arrival_seq: r for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    batch = scored_features(dead_letter_split(decode_requests(lines))[0]).collect()
+    assert len(got) == len(batch) == 400
+    for row in batch:
+        for name in (*STORE_FEATURES, "score"):
+            assert got[row.arrival_seq][name] == pytest.approx(row[name], abs=1e-9)
+
+
+def test_text_lines_are_numbered_in_order(spark, tmp_path):
+    rows = [(seq, f'{{"n":{seq}}}') for seq in range(90)]
+    lines = spark.createDataFrame(rows, "arrival_seq long, value string").repartition(4)
+    score.publish(lines, str(tmp_path / "in"), 3, text=True)
+    read = score.read_request_lines(spark, str(tmp_path / "in"), stream=False)
+    got = [r.value for r in read.orderBy("arrival_seq").collect()]
+    assert got == [value for _, value in rows]
+    assert read.select("arrival_seq").distinct().count() == 90
+    assert read.filter("cause = 'missing: event_time_ms'").count() == 90
+
+
 def test_idle_timeout_and_clamp_are_options(spark, tmp_path):
     source = tmp_path / "in"
     source.mkdir()
