@@ -22,9 +22,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from cardwatch.llm.shared import ROW, pieces, stage
 
-CLASSES = 1 << 16
-#: A class is frequent beyond so many times the mean; a task reports a class beyond half.
-FREQUENT = 8
+CLASSES = 1 << 20
+#: A class is frequent beyond so many times the mean; a task reports a class beyond half,
+#: and not below LEAST.
+FREQUENT, LEAST = 4, 4
 #: Bytes of text worked on at a time, and bytes of packed runs meant for a bucket.
 BLOCK, BUCKET = 1_000_000, 4_000_000
 
@@ -105,8 +106,13 @@ class Windows:
         last = len(block.starts) - self.gram + 1
         return span_hashes(codes, block.starts[:last], block.ends[self.gram - 1 :])
 
-    def runs(self, block: Block, frequent: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(document, first unit in it, windows, first byte, end byte, minimiser hash)."""
+    def runs(
+        self, block: Block, frequent: np.ndarray | None = None, turn: int = 0
+    ) -> tuple[np.ndarray, ...]:
+        """(document, first unit in it, windows, first byte, end byte, minimiser hash).
+
+        Each turn orders m-grams anew.
+        """
         none = tuple(np.empty(0, np.int64) for _ in range(5)) + (np.empty(0, np.uint64),)
         counts = np.maximum(np.diff(block.first) - self.size + 1, 0)
         if not counts.any():
@@ -114,8 +120,10 @@ class Windows:
         hashes = self.grams(block)
         if len(hashes) >> int(PLACE):
             raise ValueError(f"a text has more than 2 ** {PLACE} words or bytes")
-        keys = (hashes >> (PLACE + np.uint64(1)) << PLACE) | np.arange(len(hashes), dtype=np.uint64)
-        keys[frequent[(hashes & np.uint64(CLASSES - 1)).astype(np.int64)]] |= TOP
+        ranks = mix(hashes + np.uint64(turn)) if turn else hashes
+        keys = (ranks >> (PLACE + np.uint64(1)) << PLACE) | np.arange(len(hashes), dtype=np.uint64)
+        if frequent is not None:
+            keys[frequent[(hashes & np.uint64(CLASSES - 1)).astype(np.int64)]] |= TOP
         least = sliding_least(keys, self.size - self.gram + 1)
         at = (least & ((np.uint64(1) << PLACE) - np.uint64(1))).astype(np.int64)
         document = np.repeat(np.arange(len(counts)), counts)
@@ -202,7 +210,7 @@ def frequent_classes(rows: DataFrame, windows: Windows) -> np.ndarray:
                 own = windows.grams(block) & np.uint64(CLASSES - 1)
                 counts += np.bincount(own.astype(np.int64), minlength=CLASSES)
         total = int(counts.sum())
-        some = np.flatnonzero(counts > FREQUENT * total / CLASSES / 2)
+        some = np.flatnonzero(counts > max(FREQUENT * total / CLASSES / 2, LEAST))
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.append(-1, some)), pa.array(np.append(total, counts[some]))], ["class", "n"]
         )
@@ -214,7 +222,7 @@ def frequent_classes(rows: DataFrame, windows: Windows) -> np.ndarray:
     total = counts.filter("class < 0").first()
     found = np.zeros(CLASSES, bool)
     if total:
-        limit = FREQUENT * total["n"] / CLASSES
+        limit = max(FREQUENT * total["n"] / CLASSES, LEAST)
         found[[r["class"] for r in counts.filter(f"class >= 0 and n > {limit}").collect()]] = True
     return found
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,9 @@ from cardwatch.llm.minimisers import Block, Marks, Run, Windows, removed_ranges
 from cardwatch.llm.shared import ROW, keyed
 
 #: Bytes sorted in one suffix array; runs that share a minimiser are never parted.
-SORTED = 2_000_000
+SORTED = 1_000_000
+#: Bytes of runs with one minimiser that are parted by a second one before they are sorted.
+LARGE = 100_000
 
 RESULT = pa.struct(
     [
@@ -124,20 +127,58 @@ def _repeated(runs: list[Run], size: int) -> Marks:
     ]
 
 
-def repeated_windows(size: int):
+def _together(groups: list[list[Run]], size: int) -> Marks:
+    """Groups sorted in arrays of about SORTED bytes; a group is never parted."""
+    marks: Marks = []
+    batch: list[Run] = []
+    total = 0
+    for group in groups:
+        batch += group
+        total += sum(len(r.text) for r in group)
+        if total > SORTED:
+            marks += _repeated(batch, size)
+            batch, total = [], 0
+    return marks + (_repeated(batch, size) if batch else [])
+
+
+def _parted(runs: list[Run], windows: Windows) -> Marks:
+    """A large group, whose windows all share a minimiser, by a second one of each window.
+
+    What the windows have around the common one parts nearly all of them.
+    """
+    lengths = [len(r.text) for r in runs]
+    units = np.arange(sum(lengths))
+    first = np.append(0, np.cumsum(lengths))
+    block = Block([*range(len(runs))], b"".join(r.text for r in runs), units, units + 1, first)
+    *columns, gram = windows.runs(block, turn=1)
+    known: dict[bytes, Run] = {}
+    for k, at, n, a, b, g in zip(*(c.tolist() for c in columns), gram.tolist(), strict=True):
+        text = block.data[a:b]
+        known.setdefault(text, Run(text, g, n, [])).places.append((k, at))
+    groups: dict[int, list[Run]] = {}
+    marks: Marks = []
+    for part in known.values():
+        groups.setdefault(part.gram, []).append(part)
+        if len(part.places) > 1:
+            marks += [(k, at, part.windows) for k, at in part.places]
+    marks += _together([g for g in groups.values() if len(g) > 1], windows.size)
+    return [
+        (key, unit + at, n) for k, at, n in marks for key, unit in runs[k].places
+    ]
+
+
+def repeated_windows(windows: Windows):
     """Windows of bytes found twice in runs, which stand in order of their minimiser."""
 
     def resolve(runs: list[Run]) -> Marks:
-        marks: Marks = []
-        batch: list[Run] = []
-        total = 0
-        for run in runs:
-            if total > SORTED and run.gram != batch[-1].gram:
-                marks += _repeated(batch, size)
-                batch, total = [], 0
-            batch.append(run)
-            total += len(run.text)
-        return marks + (_repeated(batch, size) if batch else [])
+        groups = [[*own] for _, own in groupby(runs, key=lambda r: r.gram)]
+        marks, small = [], []
+        for group in groups:
+            if sum(len(r.text) for r in group) > LARGE:
+                marks += _parted(group, windows)
+            else:
+                small.append(group)
+        return marks + _together(small, windows.size)
 
     return resolve
 
@@ -193,11 +234,9 @@ def dedup_suffixes(
     read.
     """
     rows = keyed(docs, id_col, text_col)
+    windows = Windows(length, gram, split_bytes)
     gone = removed_ranges(
-        rows.select(ROW, "_text"),
-        Windows(length, gram, split_bytes),
-        keep_first=False,
-        resolve=repeated_windows(length),
+        rows.select(ROW, "_text"), windows, keep_first=False, resolve=repeated_windows(windows)
     )
     # Hashing the ranges spares sorting the texts.
     gone = gone.withColumnRenamed("key", ROW).hint("shuffle_hash")

@@ -8,8 +8,8 @@ import xxhash
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from cardwatch.llm import simhash
-from cardwatch.llm.minimisers import sliding_least
+from cardwatch.llm import simhash, suffixes
+from cardwatch.llm.minimisers import Run, sliding_least
 from cardwatch.llm.simhash import covering_masks, drop_near_duplicates, links, near_duplicates
 from cardwatch.llm.substrings import dedup_substrings
 from cardwatch.llm.suffixes import dedup_suffixes, difference_cover_array
@@ -37,6 +37,24 @@ def test_later_windows_go(spark, seed):
     assert Counter(got) == Counter(expected)
 
 
+@pytest.mark.parametrize("length", [5, 400])
+def test_large_groups_are_parted_by_a_second_minimiser(length):
+    """Runs with one common string, each with surroundings of its own or shared in part."""
+    rng = np.random.default_rng(5)
+    common = bytes(rng.integers(97, 123, 40).astype(np.uint8))
+    sides = [bytes(rng.integers(97, 123, 2 * length).astype(np.uint8)) for _ in range(6)]
+    runs = [
+        Run(a + common + b, 7, len(a + common + b) - length + 1, [(k, 0)])
+        for k, (a, b) in enumerate((a, b) for a in sides for b in sides)
+    ]
+    windows = suffixes.Windows(length, min(length - 1, 32), suffixes.split_bytes)
+    cells = [
+        {(k, u) for k, a, n in marks for u in range(a, a + n)}
+        for marks in (suffixes._parted(runs, windows), suffixes._repeated(runs, length))
+    ]
+    assert cells[0] == cells[1] != set()
+
+
 @pytest.mark.parametrize("length", [5, 400])
 def test_repeated_bytes_go(spark, length):
     rows = texts(3)
