@@ -122,7 +122,8 @@ def reply_paths(
         above = listed.join(step, ["tree", "node"]).select(
             "tree", "leaf", "rank", F.col("up").alias("node"), (F.col("distance") + 2**k).alias("distance")
         )
-        listed = listed.select("tree", "leaf", "rank", "node", "distance").union(above)
+        # Read twice in the next round, so written: else plans double with each round.
+        listed = stage(listed.select("tree", "leaf", "rank", "node", "distance").union(above), "paths")
     depth = listed.groupBy("tree", "leaf").agg(F.max("distance").alias("depth"))
     return listed.join(depth, ["tree", "leaf"]).select(
         "tree", "leaf", "rank", "node", (F.col("depth") - F.col("distance")).alias("turn")
