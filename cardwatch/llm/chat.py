@@ -92,24 +92,24 @@ def reply_paths(
     nodes = nodes.join(known, ["tree", "up"], "left").select(
         "tree", "node", F.when(F.col("known"), F.col("up")).alias("up"), "score"
     )
-    levels = [stage(nodes, "ancestors")]
-    parents = levels[0].filter("up is not null").select("tree", F.col("up").alias("node"))
-    limit = levels[0].groupBy("tree").count().agg(F.max("count")).first()[0] or 0
-    while (2 ** (len(levels) - 1)) <= limit:
-        last = levels[-1]
-        if last.filter("up is not null").isEmpty():
-            break
-        beyond = last.select(
+    nodes = stage(nodes, "ancestors")
+    limit = nodes.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
+    # Messages whose root is reached leave the rounds with the score of their whole path.
+    live, finished = nodes.filter("up is not null"), nodes.filter("up is null")
+    parents = live.select("tree", F.col("up").alias("node"))
+    levels = [live]
+    while 2 ** (len(levels) - 1) <= limit and not live.isEmpty():
+        beyond = live.union(finished).select(
             "tree", F.col("node").alias("up"), F.col("up").alias("far"), F.col("score").alias("more")
         )
-        jumped = last.join(beyond, ["tree", "up"], "left").select(
-            "tree",
-            "node",
-            F.col("far").alias("up"),
-            (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"),
+        jumped = live.join(beyond, ["tree", "up"]).select(
+            "tree", "node", F.col("far").alias("up"), (F.col("score") + F.col("more")).alias("score")
         )
-        levels.append(stage(jumped, "ancestors"))
-    leaves = levels[-1].filter("up is null").join(parents, ["tree", "node"], "left_anti")
+        jumped = stage(jumped, "ancestors")
+        live = jumped.filter("up is not null")
+        finished = finished.union(jumped.filter("up is null"))
+        levels.append(live)
+    leaves = finished.join(parents, ["tree", "node"], "left_anti")
     order = Window.partitionBy("tree").orderBy(F.desc("score"), "node")
     ranked = leaves.select(
         "tree", F.col("node").alias("leaf"), F.row_number().over(order).alias("rank"), "node"
@@ -118,7 +118,7 @@ def reply_paths(
         ranked = ranked.filter(F.col("rank") <= paths)
     listed = stage(ranked.withColumn("distance", F.lit(0)), "paths")
     for k in range(len(levels) - 1, -1, -1):
-        step = levels[k].filter("up is not null").select("tree", "node", "up")
+        step = levels[k].select("tree", "node", "up")
         above = listed.join(step, ["tree", "node"]).select(
             "tree", "leaf", "rank", F.col("up").alias("node"), (F.col("distance") + 2**k).alias("distance")
         )
