@@ -18,11 +18,11 @@ BITS = 64
 BUCKET = 200
 
 
-def fingerprint_bytes(text: str | None, shingle: int) -> bytes:
-    """Eight bytes, little-endian: bit b is set if most shingle hashes have it."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """64-bit hashes of a text's shingles of words, in order; fewer words are one shingle."""
     words = (text or "").encode().lower().split()
     if not words:
-        return bytes(8)
+        return np.zeros(0, "<u8")
     flat = b" ".join(words)
     spaces = np.flatnonzero(np.frombuffer(flat, np.uint8) == 32)
     starts = np.append(0, spaces + 1)
@@ -30,7 +30,12 @@ def fingerprint_bytes(text: str | None, shingle: int) -> bytes:
     size = min(shingle, len(words))
     spans = zip(starts[: len(words) - size + 1].tolist(), ends[size - 1 :].tolist(), strict=True)
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(flat[a:b], 42) for a, b in spans], "<u8")
+    return np.array([digest(flat[a:b], 42) for a, b in spans], "<u8")
+
+
+def fingerprint_bytes(text: str | None, shingle: int) -> bytes:
+    """Eight bytes, little-endian: bit b is set if most shingle hashes have it."""
+    hashes = shingle_hashes(text, shingle)
     counts = np.zeros(BITS, np.int64)
     for k in range(0, len(hashes), 65_536):
         part = hashes[k : k + 65_536].view(np.uint8).reshape(-1, 8)
