@@ -61,6 +61,9 @@ PLAIN_AT = re.compile(r"(?<=[A-Za-z0-9])\s+at\s+(?=[A-Za-z0-9-]+\s+dot\s+[A-Za-z
 PLAIN_DOT = re.compile(r"(?<=[A-Za-z0-9])\s+dot\s+(?=[A-Za-z0-9])", re.I)
 DISGUISES = ("dot", "[at", "(at", "{at", "<at", "[ at", "( at", "[@", "(@", "{@", "arroba", "arobase", "[.]", "(.)", "punkt", "punto", "point")
 
+#: The mark of a spoken digit on a tape.
+SPOKEN_MARK = 2
+
 Span = tuple[str, int, int]
 
 
@@ -123,8 +126,11 @@ class Tape:
     def of(cls, text: str) -> Tape:
         return cls(text, list(range(len(text))), list(range(1, len(text) + 1)), [0] * len(text))
 
-    def rewrite(self, pattern: re.Pattern, write) -> None:
-        """write: the text for a match; empty removes it and marks its neighbours."""
+    def rewrite(self, pattern: re.Pattern, write, mark: int = 1) -> None:
+        """write: the text for a match; empty removes it and marks its neighbours.
+
+        What is written has `mark` in `changed`.
+        """
         parts, starts, ends, changed, done = [], [], [], [], 0
         gaps = []
         for m in pattern.finditer(self.text):
@@ -135,7 +141,7 @@ class Tape:
             parts += [self.text[done:a], new]
             starts += self.starts[done:a] + [self.starts[a]] * len(new)
             ends += self.ends[done:a] + [self.ends[b - 1]] * len(new)
-            changed += self.changed[done:a] + [1] * len(new)
+            changed += self.changed[done:a] + [mark] * len(new)
             done = b
             if not new:
                 gaps += [len(changed) - 1, len(changed)]
@@ -161,13 +167,24 @@ def _spoken(text: str):
     return write
 
 
+def _between_spoken(changed: list[int]):
+    """Writes a space for a comma that has a spoken digit on one side at least."""
+
+    def write(m: re.Match) -> str:
+        sides = changed[m.start() - 1], changed[m.end()]
+        return " " if SPOKEN_MARK in sides else m[0]
+
+    return write
+
+
 def plain(text: str) -> Tape:
     """The text without disguises."""
     tape = Tape.of(text)
     tape.rewrite(ODD, lambda m: HOMOGLYPHS.get(m[0], ""))
-    tape.rewrite(SPOKEN, _spoken(tape.text))
+    tape.rewrite(SPOKEN, _spoken(tape.text), mark=SPOKEN_MARK)
     tape.rewrite(PLUS, lambda m: "+")
-    tape.rewrite(COMMA, lambda m: " ")
+    # Lists of numbers keep their commas; only digits that were spoken are put together.
+    tape.rewrite(COMMA, _between_spoken(tape.changed))
     tape.rewrite(AT, lambda m: "@")
     tape.rewrite(PLAIN_AT, lambda m: "@")
     tape.rewrite(DOT, lambda m: ".")

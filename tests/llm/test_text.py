@@ -78,6 +78,20 @@ def test_ordinary_words_are_left_alone(text):
     assert all(plain for *_, plain in pii.spans(text))
 
 
+@pytest.mark.parametrize("other", ["", "one appointment, not two", "un dot", "４", "one two three four"])
+def test_number_lists_keep_their_commas(other):
+    found = []
+    for first in range(1950, 2022):
+        text = f"{', '.join(str(first + k) for k in range(4))}. {other}"
+        found += pii.spans(text)
+        assert pii.redact_text(text) == text
+    assert found == []
+    wide = "１９５４, １９５５, １９５６, １９５７"
+    assert pii.spans(wide) == []
+    spoken = "plus four, four, two, zero, seven, nine, four, six, zero, nine"
+    assert ("phone", spoken) in [(k, spoken[a:b]) for k, a, b, _ in pii.spans(spoken)]
+
+
 def test_spans_of_a_table(spark):
     rows = [*texts(), *enumerate(PLAIN, 100)]
     found = pii.with_spans(table(spark, rows).withColumn("pii", F.lit(1))).select("text", "pii")
