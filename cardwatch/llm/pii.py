@@ -59,7 +59,13 @@ AT = re.compile(OPEN + r"(?:at|@|arroba|arobase)" + CLOSE, re.I)
 DOT = re.compile(OPEN + r"(?:dot|\.|punkt|punto|point)" + CLOSE, re.I)
 PLAIN_AT = re.compile(r"(?<=[A-Za-z0-9])\s+at\s+(?=[A-Za-z0-9-]+\s+dot\s+[A-Za-z0-9])", re.I)
 PLAIN_DOT = re.compile(r"(?<=[A-Za-z0-9])\s+dot\s+(?=[A-Za-z0-9])", re.I)
-DISGUISES = ("dot", "[at", "(at", "{at", "<at", "[ at", "( at", "[@", "(@", "{@", "arroba", "arobase", "[.]", "(.)", "punkt", "punto", "point")
+#: What finds a match where AT and DOT do, without their quantified ends.
+AT_CORE = re.compile(r"[\[({<]\s*(?:at|@|arroba|arobase)\s*[\])}>]", re.I)
+DOT_CORE = re.compile(r"[\[({<]\s*(?:dot|\.|punkt|punto|point)\s*[\])}>]", re.I)
+ODD_CHARS = frozenset(HOMOGLYPHS) | frozenset(INVISIBLE)
+#: Letters that match s, i and k without case, but have another lower case.
+FOLDED = frozenset("ſİ\u212a")
+WORDS = re.compile(r"\w+")
 
 #: The mark of a spoken digit on a tape.
 SPOKEN_MARK = 2
@@ -162,7 +168,9 @@ def _spoken(text: str):
 
     def write(m: re.Match) -> str:
         k = bisect_right(starts, m.start()) - 1
-        return DIGIT_WORDS[m[0].lower()] if k >= 0 and m.end() <= runs[k][1] else m[0]
+        # Capitals that match without case but have another lower case: long s, dotted I.
+        word = m[0].replace("İ", "i").casefold()
+        return DIGIT_WORDS[word] if k >= 0 and m.end() <= runs[k][1] else m[0]
 
     return write
 
@@ -193,13 +201,23 @@ def plain(text: str) -> Tape:
 
 
 def disguised(text: str) -> bool:
-    """Whether any transducer could change the text. Quick, and never false for such."""
-    if not text.isascii() and ODD.search(text):
+    """Whether any transducer changes the text: each one's pattern, searched in it.
+
+    The first that changes it sees it as it is written, so no other text has to be tried.
+    A pattern is spared only where a word that all its matches hold is missing.
+    """
+    chars = frozenset(text)
+    if not chars.isdisjoint(ODD_CHARS):
+        return True
+    low, folded = text.lower(), not chars.isdisjoint(FOLDED)
+    if (folded or "plus" in low) and PLUS.search(text):
+        return True
+    if "dot" in low and (PLAIN_DOT.search(text) or PLAIN_AT.search(text)):
         return True
-    low = text.lower()
-    if any(d in low for d in DISGUISES):
+    if not chars.isdisjoint("[({<") and (AT_CORE.search(text) or DOT_CORE.search(text)):
         return True
-    return not DIGIT_WORDS.keys().isdisjoint(re.sub(r"[^\w\s]", " ", low).split())
+    spoken = folded or not DIGIT_WORDS.keys().isdisjoint(WORDS.findall(low))
+    return bool(spoken and SPOKEN_RUN.search(text))
 
 
 def spans(text: str) -> list[tuple[str, int, int, bool]]:

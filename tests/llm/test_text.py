@@ -1,5 +1,6 @@
 """Personal data, quality, licences, contamination and chats on small tables."""
 
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -78,6 +79,36 @@ def test_ordinary_words_are_left_alone(text):
     assert all(plain for *_, plain in pii.spans(text))
 
 
+@pytest.mark.parametrize(
+    ("text", "kind"),
+    [
+        ("plus 49 30 1234567", "phone"),
+        ("mary [ @ ] example.org", "email"),
+        ("mary <@> example.org", "email"),
+        ("mary { at } example.org", "email"),
+        ("mary@example [ . ] org", "email"),
+        ("mary@example{.}org", "email"),
+        ("call ſeven nİne one two three four five six seven eight plus 1", None),
+    ],
+)
+def test_every_form_of_a_disguise_is_found(text, kind):
+    assert kind in [k for k, *_ in pii.spans(text)] or kind is None
+    assert pii.disguised(text)
+
+
+def test_guard_is_true_just_where_a_transducer_changes_the_text():
+    rng = random.Random(31)
+    parts = [*"[](){}<>@.,+ \n", "at", "dot", "Punkt", "arroba", "plus", "PLUS", "one", "zwei", "TROIS", "ſix", "nİne", "pluſ", "pun\u212at"]
+    parts += ["seven", "49", "301", "mary", "example", "org", "\t", "  ", "appointment", "а", "\u200b", "４", "-", " ", " "]
+    seen = Counter()
+    for _ in range(20_000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(1, 12)))
+        changed = pii.plain(text).text != text
+        assert pii.disguised(text) == changed, text
+        seen[changed] += 1
+    assert min(seen.values()) > 1_000
+
+
 @pytest.mark.parametrize("other", ["", "one appointment, not two", "un dot", "４", "one two three four"])
 def test_number_lists_keep_their_commas(other):
     found = []
