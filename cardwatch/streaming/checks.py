@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cardwatch.config import Config
 from cardwatch.schemas import RESPONSE
 from cardwatch.sinks import RESPONSE_COLUMNS, remove_folder, shared_folder
-from cardwatch.sources.requests import dead_letter_split, encode_requests
+from cardwatch.sources.requests import dead_letter_split, decode_requests, encode_requests
 from cardwatch.sources.tables import faulty_requests, read_table, transactions
 from cardwatch.streaming import score
 from cardwatch.streaming.state import store_features_stream
@@ -17,6 +18,8 @@ from cardwatch.streaming.state import store_features_stream
 CFG = Config()
 #: Files, and so micro-batches, that a table is published in.
 CHUNKS = 5
+#: A window is reported when it lies so far behind.
+CLOSED_MS = 600_000
 
 
 def _run(spark: SparkSession, rows: DataFrame, folder: str, schema, name: str = "out") -> DataFrame:
@@ -78,11 +81,34 @@ def stream_clamped(spark, d):
     )
 
 
+def needed_lateness(spans: list[tuple[int | None, int | None]]) -> int:
+    """The longest time that a row can lie behind one read no later, in ms.
+
+    spans: earliest and latest time of each micro-batch, in order. The files of a
+    micro-batch come in any order, so each row of it may come after its latest.
+    """
+    spans = [s for s in spans if s[0] is not None]
+    lows = list(accumulate((low for low, _ in reversed(spans)), min))[::-1]
+    highs = accumulate((high for _, high in spans), max)
+    return max((high - low for low, high in zip(lows, highs, strict=True)), default=0)
+
+
+def _published_lateness(spark: SparkSession, folder: str) -> int:
+    """`needed_lateness` of the published files, each of which is one micro-batch."""
+    lines = spark.read.schema(score.LINES).json(f"{folder}/in")
+    lines = lines.withColumn("_file", F.struct("_metadata.file_modification_time", "_metadata.file_path"))
+    spans = decode_requests(lines).groupBy("_file").agg(
+        F.min("event_time_ms").alias("low"), F.max("event_time_ms").alias("high")
+    )
+    return needed_lateness([(r.low, r.high) for r in spans.orderBy("_file").collect()])
+
+
 def stream_counters(spark, d):
     """Scored rows as one stream, its sink as the input of the counter stream.
 
-    Windows of a minute, closed ones only. The lateness is longer than the time that a
-    micro-batch of scoring spans, whose files come in any order.
+    Windows of a minute that lie CLOSED_MS behind the end. The lateness is as long as the
+    micro-batches of scoring need, whose files come in any order, so no row is dropped. If
+    that is longer than CLOSED_MS, a batch aggregate gives the windows between.
     """
     tx, folder = _requests(spark, d)
     names = ("event_time_ms", "route", "decision", "before_us", "total_us")
@@ -92,11 +118,18 @@ def stream_counters(spark, d):
         .select(*names)
     )
     _run(spark, scored, folder, scored.schema)
+    lateness = max(CLOSED_MS, _published_lateness(spark, folder))
+    report = ("1 minute", f"{lateness} milliseconds", ("before", "total"))
     log = spark.readStream.schema(scored.schema).option("maxFilesPerTrigger", "4")
-    counted = score.stream_metrics(
-        log.parquet(f"{folder}/out"), "1 minute", "10 minutes", ("before", "total")
-    )
-    return _run(spark, counted, folder, counted.schema, "counters")
+    counted = score.stream_metrics(log.parquet(f"{folder}/out"), *report)
+    closed = _run(spark, counted, folder, counted.schema, "counters")
+    if lateness == CLOSED_MS:
+        return closed
+    rows = spark.read.schema(scored.schema).parquet(f"{folder}/out")
+    last = rows.agg(F.max("event_time_ms")).first()[0]
+    start, end = ((last - late) // 60_000 * 60_000 for late in (lateness, CLOSED_MS))
+    tail = rows.filter((F.col("event_time_ms") >= start) & (F.col("event_time_ms") < end))
+    return closed.unionByName(score.stream_metrics(tail, *report))
 
 
 def stream_dead_letters(spark, d):
