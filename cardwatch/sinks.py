@@ -48,6 +48,13 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{shared.rstrip('/')}/cardwatch-{uuid.uuid4()}"
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The rows, written once to a shared folder and read from there: cuts the lineage."""
+    path = shared_folder(df.sparkSession)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def remove_folder(spark: SparkSession, path: str) -> None:
     """Removes what a query has written and nobody reads any more."""
     hadoop = spark.sparkContext._jsc.hadoopConfiguration()
