@@ -33,6 +33,13 @@ _LICENSES = ", ".join(
     "('{}', '{}')".format(name, text.replace("'", "''")) for name, texts in KNOWN.items() for text in texts
 )
 
+#: The usual CRC of 32 bits, reflected: by bytes, from a table made by its rule.
+_CRC_TABLE = """
+    select list(list_reduce(range(8), lambda c, i:
+        case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, n) order by n) as tab
+    from (select unnest(range(256)) as n)
+"""
+
 SQL = {
     "op1_chat": f"""
 with said as (
@@ -99,5 +106,73 @@ select doc_id, cast(len(w) as bigint) as n_words, coalesce(h.n, 0) as n_hit,
     coalesce(i.n, 0) as n_items, sha256(coalesce(names, '')) as items_sha256,
     coalesce(h.n, 0) > 0 as contaminated
 from doc_words left join hit_words h using (doc_id) left join hit_items i using (doc_id)
+""",
+    "op11_importance": f"""
+with crc_table as ({_CRC_TABLE}),
+doc_words as (select doc_id, unnest(w) as word from (select doc_id, {_WORDS} as w from documents)),
+aim_words as (select unnest({_WORDS}) as word from benchmark),
+buckets as (
+    select word, xor(list_reduce(list_transform(range(octet_length(encode(word))),
+            lambda i: cast('0x' || substr(hex(encode(word)), 2 * i + 1, 2) as bigint)),
+        lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) % 10000 as bucket
+    from (select word from doc_words union select word from aim_words), crc_table
+),
+s as (select bucket, count(*) as n from doc_words join buckets using (word) group by 1),
+t as (select bucket, count(*) as n from aim_words join buckets using (word) group by 1),
+sums as (select (select coalesce(sum(n), 0) from s) as all_s, (select coalesce(sum(n), 0) from t) as all_t),
+gains as (
+    select s.bucket, cast(floor(1000 * ln(
+        (coalesce(t.n, 0) + 1.0::double) * (all_s + 10000.0::double)
+        / ((s.n + 1.0::double) * (all_t + 10000.0::double)))) as bigint) as gain
+    from s left join t using (bucket), sums
+),
+found as (
+    select doc_id, count(*) as n, sum(gain) as total
+    from doc_words join buckets using (word) join gains using (bucket) group by 1
+),
+weighed as (
+    select doc_id, coalesce(n, 0) as n_features,
+        cast(coalesce((total - ((total % n) + n) % n) // n, 0) as bigint) as weight,
+        cast('0x' || substr(sha256('2024:' || doc_id), 1, 8) as bigint) as h
+    from documents left join found using (doc_id)
+),
+scored as (
+    select *, weight + cast(floor(-1000 * ln(-ln((h + 0.5::double) / 4294967296.0::double))) as bigint)
+        as score
+    from weighed
+),
+placed as (
+    select *, row_number() over (partition by n_features >= 20 order by score desc, doc_id) as place,
+        count(*) filter (n_features >= 20) over () * 10 // 100 as drawn
+    from scored
+)
+select doc_id, n_features, weight, score,
+    case when n_features >= 20 and place <= drawn then place end as rank
+from placed
+""",
+    "op12_hard_negatives": """
+with whole as (
+    select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+        list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v
+    from embeddings
+    where label is not null and embedding is not null
+        and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+),
+scores as (
+    select a.vec_id as anchor, c.vec_id as other, a.label = c.label as mate,
+        cast(list_dot_product(cast(a.v as double[]), cast(c.v as double[])) as bigint) as score
+    from whole a join whole c on a.vec_id <> c.vec_id where a.vec_id % 100 = 0
+),
+positives as (
+    select anchor, other as positive, score as positive_score from scores where mate
+    qualify row_number() over (partition by anchor order by score desc, other) <= 5
+)
+select p.anchor as anchor_id, positive as positive_id,
+    cast(row_number() over w as integer) as rank, other as negative_id, positive_score,
+    score as negative_score
+from positives p join scores s on p.anchor = s.anchor and not mate
+    and 80 * positive_score <= 100 * score and score <= positive_score
+window w as (partition by p.anchor, positive order by score desc, other)
+qualify row_number() over w <= 5
 """,
 }

@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from cardwatch.llm import oracle
 from cardwatch.llm.chat import format_conversations, numbered_turns, parse_turns, unescape
 from cardwatch.llm.decontam import n_hit, with_contamination
+from cardwatch.llm.importance import importance
 from cardwatch.llm.licenses import scan_licenses
+from cardwatch.llm.negatives import hard_negatives
 from cardwatch.llm.packing import pack
 from cardwatch.llm.pii import KINDS, spans_text, with_spans
 from cardwatch.llm.quality import judge
@@ -139,6 +141,16 @@ def op10_quality_rules(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def op11_importance(spark: SparkSession, d: str) -> DataFrame:
+    return importance(_table(spark, d, "documents"), _table(spark, d, "benchmark")).drop("n_words")
+
+
+def op12_hard_negatives(spark: SparkSession, d: str) -> DataFrame:
+    changed = F.expr("CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END")
+    vectors = _table(spark, d, "embeddings").withColumn("label", changed)
+    return hard_negatives(vectors, F.col("vec_id") % 100 == 0)
+
+
 def queries() -> dict[str, Query]:
     every = (
         op1_chat,
@@ -151,6 +163,8 @@ def queries() -> dict[str, Query]:
         op8_license_scan,
         op9_pii,
         op10_quality_rules,
+        op11_importance,
+        op12_hard_negatives,
     )
     return {f.__name__: f for f in every}
 
