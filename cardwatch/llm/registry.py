@@ -17,6 +17,7 @@ from cardwatch.llm.negatives import hard_negatives
 from cardwatch.llm.packing import pack
 from cardwatch.llm.pii import KINDS, spans_text, with_spans
 from cardwatch.llm.quality import judge
+from cardwatch.llm.secret_scan import scan_secrets, spans_text as secrets_text
 from cardwatch.llm.simhash import near_duplicates
 from cardwatch.llm.substrings import dedup_substrings, n_removed
 from cardwatch.llm.suffixes import dedup_suffixes
@@ -151,6 +152,20 @@ def op12_hard_negatives(spark: SparkSession, d: str) -> DataFrame:
     return hard_negatives(vectors, F.col("vec_id") % 100 == 0)
 
 
+def op13_secret_scan(spark: SparkSession, d: str) -> DataFrame:
+    found = scan_secrets(_table(spark, d, "documents"))
+    found = found.withColumn("_base", F.filter("secrets", lambda s: s["base"]))
+    return found.select(
+        "doc_id",
+        *[
+            F.size(F.expr(f"filter(_base, s -> s.kind = '{k}')")).cast("long").alias(f"n_{k}")
+            for k in ("assign", "access", "hex")
+        ],
+        F.sha2(secrets_text(F.col("_base")), 256).alias("base_sha256"),
+        secrets_text(F.col("secrets")).alias("spans"),
+    )
+
+
 def queries() -> dict[str, Query]:
     every = (
         op1_chat,
@@ -165,6 +180,7 @@ def queries() -> dict[str, Query]:
         op10_quality_rules,
         op11_importance,
         op12_hard_negatives,
+        op13_secret_scan,
     )
     return {f.__name__: f for f in every}
 
