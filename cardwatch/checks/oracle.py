@@ -369,7 +369,13 @@ def oracle_sql() -> dict[str, str]:
         "accepted_updates": _late("b AS bucket", "NOT severe"),
         "bucket_preagg": f"""WITH {_lateness()} SELECT user_id, b AS bucket, count(*) AS cnt,
             round(sum(amount), 6) AS amount_sum FROM l WHERE NOT severe GROUP BY user_id, b""",
-        "expiry": _late("mb - 2999 AS oldest_bucket"),
+        "expiry": f"""WITH {_lateness()} SELECT i.user_id, i.arrival_seq,
+              i.mb - 2999 AS oldest_bucket, count(j.arrival_seq) AS dropped_n,
+              round(coalesce(sum(j.amount), 0), 6) AS dropped_amount
+            FROM l i LEFT JOIN l j
+              ON j.user_id = i.user_id AND j.arrival_seq < i.arrival_seq AND NOT j.severe
+             AND j.b <= i.b AND j.b > i.b - 3000 AND j.b < i.mb - 2999
+            GROUP BY ALL""",
         **{
             w: f"WITH {_STORE} SELECT user_id, arrival_seq, {_round(w)} FROM store"
             for w in _WINDOWS

@@ -13,6 +13,7 @@ from cardwatch.functions import features as X
 from cardwatch.functions import scoring as S
 from cardwatch.models import default_models, weights_table
 from cardwatch.operators import knee, load_stats
+from cardwatch.operators.expiry import expired
 from cardwatch.operators.features import feature_long, feature_vector, with_row_features
 from cardwatch.operators.linear_long import linear_score_long
 from cardwatch.operators.windows import (
@@ -265,10 +266,11 @@ def buckets(spark, d):
 
 
 def expiry(spark, d):
-    """Oldest bucket a row can see, and how many of its user's rows it has."""
-    oldest = (F.col("max_bucket_seen") - (CFG.long_buckets - 1)).alias("oldest_bucket")
-    rows = with_lateness(_tx(spark, d), CFG).select("user_id", "arrival_seq", oldest)
-    return rows
+    """Oldest bucket kept at each row, and what the bound drops from the row's own window."""
+    rows = expired(_tx(spark, d).select("user_id", "arrival_seq", "event_time_ms", "amount"), CFG)
+    return rows.select(
+        "user_id", "arrival_seq", "oldest_bucket", "dropped_n", _r("dropped_amount")
+    )
 
 
 def window(name: str) -> Query:

@@ -22,12 +22,14 @@ class Config:
 
     # Distribution settings. They change the plan, never the result.
     # A user with more rows than `heavy_rows` is cut into segments of about
-    # `segment_rows` arrivals, so no task ever holds more than 2 * segment_rows
-    # rows of one user. At most total_rows / heavy_rows users can be heavy.
+    # `segment_rows` arrivals. At most total_rows / heavy_rows users can be heavy.
     heavy_rows: int = 2_000_000
     segment_rows: int = 1_000_000
-    # Up to this many heavy users are listed in the plan as a broadcast relation;
-    # beyond it the heavy users are joined by shuffle.
+    # A user with more rows than this per long window, on average over the user's
+    # time span, gets its windows from totals of blocks instead of frames over rows.
+    dense_rows: int = 256
+    # Up to this many heavy or dense users are listed in the plan as a broadcast relation;
+    # beyond it the heavy users are joined by shuffle and all users count as dense.
     heavy_listed: int = 10_000
 
     @property

@@ -9,28 +9,50 @@ Downstream operators partition by (user, segment) and need not know more.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from cardwatch.config import Config
 from cardwatch.functions import features as X
+from cardwatch.operators.ranks import with_positions
 
 # Working columns next to the caller's own.
 WORK = ("_segment", "_time", "_low", "_bucket", "_n", "_sum", "_real")
 
 
-def heavy_users(tx: DataFrame, cfg: Config, key: str = "user_id") -> DataFrame | None:
-    """Users with more than `cfg.heavy_rows` rows, or None when there are none.
+class Users(NamedTuple):
+    """Users that ask for more than one task, or for totals instead of frames."""
+
+    heavy: DataFrame | None
+    dense: DataFrame | None
+    #: There are too many to list: the dense way serves everybody.
+    all_dense: bool = False
+
 
-    Reads one column and counts with map-side combine. The driver sees at most
+def unusual_users(events: DataFrame, cfg: Config, key: str = "user_id") -> Users:
+    """Users with more than `cfg.heavy_rows` rows, and those with more than
+    `cfg.dense_rows` of them per long window.
+
+    Reads keys and times and counts with map-side combine. The driver sees at most
     `cfg.heavy_listed` + 1 keys; only a list within that bound is broadcast.
     """
-    heavy = tx.groupBy(key).count().filter(F.col("count") > cfg.heavy_rows).select(key)
-    listed = heavy.limit(cfg.heavy_listed + 1).collect()
-    if not listed:
-        return None
-    if len(listed) <= cfg.heavy_listed:
-        return F.broadcast(tx.sparkSession.createDataFrame(listed, heavy.schema))
-    return heavy
+    windows = F.greatest((F.max("_bucket") - F.min("_bucket") + 1) / cfg.long_buckets, F.lit(1.0))
+    rows = F.count(F.lit(1))
+    found = events.groupBy(key).agg(
+        (rows > cfg.heavy_rows).alias("heavy"), (rows / windows > cfg.dense_rows).alias("dense")
+    )
+    found = found.filter("heavy OR dense")
+    listed = found.limit(cfg.heavy_listed + 1).collect()
+    if len(listed) > cfg.heavy_listed:
+        return Users(found.filter("heavy").select(key), None, True)
+
+    def of(kind: str) -> DataFrame | None:
+        own = [(r[key],) for r in listed if r[kind] and r[key] is not None]
+        schema = found.select(key).schema
+        return F.broadcast(events.sparkSession.createDataFrame(own, schema)) if own else None
+
+    return Users(of("heavy"), of("dense"))
 
 
 def arrivals(tx: DataFrame, cfg: Config) -> DataFrame:
@@ -79,51 +101,41 @@ def with_lateness_columns(
 
 def segmented(
     tx: DataFrame, cfg: Config, key: str = "user_id", order: str = "arrival_seq"
-) -> DataFrame:
-    """Rows of `tx` with their segment, plus the seed rows of heavy users' segments.
-
-    Users below `cfg.heavy_rows` stay in one segment and cost nothing extra.
+) -> tuple[DataFrame, Users]:
+    """Rows of `tx` with their segment, plus the seed rows of heavy users' segments; and
+    which users are heavy or dense.
+
+    Users below `cfg.heavy_rows` stay in one segment and cost nothing extra. Heavy users'
+    rows get their place in arrival order from ranges, whatever the numbers are, and are
+    written once to the shared folder; a segment is `cfg.segment_rows` places. With heavy
+    users the input is read four times: for the counts, for the ranges, and the rows of
+    heavy and of other users; without, twice.
     """
     events = arrivals(tx, cfg)
-    heavy = heavy_users(tx, cfg, key)
-    if heavy is None:
-        return events
-
-    slot = X.floor_div(F.col(order), cfg.segment_rows)
-    light = events.join(heavy, key, "left_anti")
-    hot = events.join(heavy, key, "left_semi").withColumn("_slot", slot)
-
-    # `order` is unique per user, so a slot has at most segment_rows rows and a
-    # segment, made of whole slots, fewer than twice as many.
-    earlier = Window.partitionBy(key).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-    slots = (
-        hot.groupBy(key, "_slot")
-        .agg(
-            F.count(F.lit(1)).alias("rows"),
-            F.max("_time").alias("top"),
-            F.min("_time").alias("low"),
-        )
-        .withColumn("rows_before", F.coalesce(F.sum("rows").over(earlier), F.lit(0)))
-        .withColumn("_segment", X.floor_div(F.col("rows_before"), cfg.segment_rows))
-    )
-    hot = hot.drop("_segment").join(slots.select(key, "_slot", "_segment"), [key, "_slot"])
-    hot = hot.drop("_slot")
+    users = unusual_users(events, cfg, key)
+    if users.heavy is None:
+        return events, users
+
+    light = events.join(users.heavy, key, "left_anti")
+    hot = events.join(users.heavy, key, "left_semi").drop("_segment")
+    hot = with_positions(hot, [F.col(order)], "_place", by=[key])
+    hot = hot.withColumn("_segment", X.floor_div(F.col("_place"), cfg.segment_rows)).drop("_place")
 
-    starts = _time_seeds(slots, key)
+    starts = _time_seeds(hot, key)
     seeds = starts.unionByName(
         _bucket_seeds(hot, starts, cfg, key, order), allowMissingColumns=True
     ).withColumn("_real", F.lit(False))
-    return light.unionByName(hot).unionByName(seeds, allowMissingColumns=True)
+    return light.unionByName(hot).unionByName(seeds, allowMissingColumns=True), users
 
 
-def _time_seeds(slots: DataFrame, key: str) -> DataFrame:
+def _time_seeds(hot: DataFrame, key: str) -> DataFrame:
     """Largest and smallest event time before each segment: one row per segment."""
     earlier = (
         Window.partitionBy(key).orderBy("_segment").rowsBetween(Window.unboundedPreceding, -1)
     )
     return (
-        slots.groupBy(key, "_segment")
-        .agg(F.max("top").alias("top"), F.min("low").alias("low"))
+        hot.groupBy(key, "_segment")
+        .agg(F.max("_time").alias("top"), F.min("_time").alias("low"))
         .select(
             key,
             "_segment",

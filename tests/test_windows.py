@@ -5,6 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from cardwatch.config import Config
+from cardwatch.operators.expiry import expired
+from cardwatch.operators.segments import segmented
 from cardwatch.operators.windows import STORE_FEATURES, store_features, with_lateness
 from tests.model import history_features
 
@@ -107,6 +109,11 @@ SETTINGS = {
     "all users heavy": {"heavy_rows": 0, "segment_rows": 40},
     "some users heavy": {"heavy_rows": 120, "segment_rows": 100},
     "heavy users by shuffle": {"heavy_rows": 50, "segment_rows": 64, "heavy_listed": 1},
+    "all users dense": {"dense_rows": 0},
+    "some users dense": {"dense_rows": 3},
+    "dense and heavy": {"dense_rows": 0, "heavy_rows": 120, "segment_rows": 100},
+    "dense short windows": {"dense_rows": 0, "short_window_s": 1, "long_window_s": 2, "late_tolerance_ms": 300},
+    "dense at the limit": {"dense_rows": 0, "short_window_s": 4, "long_window_s": 9},
     "tiny segments": {"heavy_rows": 10, "segment_rows": 1},
     "short windows": {"short_window_s": 1, "long_window_s": 2},
     "windows at the limit": {"short_window_s": 4, "long_window_s": 9},
@@ -155,3 +162,44 @@ def test_one_shuffle_for_light_users(spark):
     # The same exchange feeds both branches; it is reused at run time.
     assert initial.count("Exchange hashpartitioning") == 2
     assert "Join" not in initial and "CartesianProduct" not in initial
+
+
+def test_dense_rows_of_every_bucket(spark):
+    rnd = random.Random(2)
+    rows = [("u", i, 1_700_000_000_000 + 100 * i - rnd.choice([0] * 9 + [1_500]), 1.0) for i in range(7_000)]
+    got = run(spark, rows, Config(long_window_s=120))
+    want = run(spark, rows, Config(long_window_s=120, dense_rows=10**9))
+    assert got == want
+    assert max(v[0] for v in got.values()) > 590
+
+
+def test_segments_of_sparse_arrival_numbers(spark):
+    rows = [(u, i * i * 10**9, 1_700_000_000_000 + 900 * i, 1.0) for u in ("u", "v") for i in range(500)]
+    cfg = Config(heavy_rows=100, segment_rows=40)
+    cut, users = segmented(spark.createDataFrame(rows, TX), cfg)
+    sizes = cut.filter("_real").groupBy("user_id", "_segment").count().collect()
+    assert users.heavy.count() == 2
+    assert sorted(r["count"] for r in sizes) == [20] * 2 + [40] * 24
+    plain = {(u, i): v for (u, i), v in run(spark, rows).items()}
+    assert run(spark, rows, cfg) == plain
+
+
+@pytest.mark.parametrize("settings", [{}, {"heavy_rows": 50, "segment_rows": 30}])
+def test_expiry_against_brute_force(spark, settings):
+    cfg = replace(Config(), short_window_s=2, long_window_s=4, late_tolerance_ms=3_000, **settings)
+    rnd, clock, rows = random.Random(6), 1_700_000_000_000, []
+    for i in range(900):
+        clock += rnd.choice([0, 40, 100, 300])
+        late = rnd.choice([0, 0, 0, 500, 1_000, 2_900, 3_001, 9_000])
+        rows.append((f"u{i % 3}", i * 7, clock - late, float(rnd.randrange(1, 999))))
+    seen, want = {}, {}
+    for user, seq, t, amount in rows:
+        past = seen.setdefault(user, [])
+        b, top = t // 100, max((p[0] for p in past), default=None)
+        newest = b if top is None else max(b, top // 100)
+        lost = [p[1] for p in past if p[2] and b - 40 < p[0] // 100 <= b and p[0] // 100 <= newest - 40]
+        want[user, seq] = (newest - 39, len(lost), sum(lost))
+        past.append((t, amount, top is None or top - t <= 3_000))
+    got = expired(spark.createDataFrame(rows, TX).repartition(3), cfg).collect()
+    assert {(r.user_id, r.arrival_seq): (r.oldest_bucket, r.dropped_n, r.dropped_amount) for r in got} == want
+    assert sum(v[1] > 0 for v in want.values()) > 100
