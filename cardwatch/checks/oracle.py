@@ -410,6 +410,10 @@ def oracle_sql() -> dict[str, str]:
             max(p99_us) FILTER (WHERE runtime = 'a') AS p99_a,
             max(p99_us) FILTER (WHERE runtime = 'b') AS p99_b FROM summary GROUP BY rps""",
         "stream_store_features": _STORE_ROWS,
+        "stream_state": f"""WITH {_lateness()}, newest AS (SELECT user_id, max(b) AS mb FROM l GROUP BY user_id)
+            SELECT user_id, b AS bucket, count(*) AS cnt, round(sum(amount), 6) AS amount_sum
+            FROM l JOIN newest USING (user_id) WHERE NOT severe AND b >= newest.mb - 2999
+            GROUP BY user_id, b""",
         "stream_score": f"""WITH {_scored(limited=True)}, t AS (SELECT *, {_HASH} FROM scored)
             SELECT {_TRACE} AS trace_id, {_round('score')}, decision, {_ITEMS} FROM t""",
         "stream_future_clamp": f"""WITH {_lateness(_CLAMP)}

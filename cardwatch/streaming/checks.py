@@ -13,11 +13,11 @@ from cardwatch.sinks import RESPONSE_COLUMNS, remove_folder, shared_folder
 from cardwatch.sources.requests import dead_letter_split, decode_requests, encode_requests
 from cardwatch.sources.tables import faulty_requests, read_table, transactions
 from cardwatch.streaming import score
-from cardwatch.streaming.state import store_features_stream
+from cardwatch.streaming.state import store_features_stream, stored_buckets
 
 CFG = Config()
-#: Files, and so micro-batches, that a table is published in.
-CHUNKS = 5
+#: A table is published in so many files at least, each of which is a micro-batch.
+FILES = 5
 #: A window is reported when it lies so far behind.
 CLOSED_MS = 600_000
 
@@ -33,7 +33,7 @@ def _run(spark: SparkSession, rows: DataFrame, folder: str, schema, name: str =
 
 
 def _requests(
-    spark: SparkSession, d: str, chunks: int = CHUNKS, **options: str
+    spark: SparkSession, d: str, files: int = FILES, **options: str
 ) -> tuple[DataFrame, str]:
     """The whole `events` table as request files in arrival order, opened as a stream.
 
@@ -41,7 +41,7 @@ def _requests(
     """
     folder = shared_folder(spark)
     tx = transactions(read_table(spark, d, "events"))
-    score.publish(encode_requests(tx), f"{folder}/in", chunks)
+    score.publish(encode_requests(tx), f"{folder}/in", files)
     options = options or {"maxFilesPerTrigger": "1"}
     valid, _ = dead_letter_split(score.read_requests(spark, f"{folder}/in", **options))
     return valid, folder
@@ -60,6 +60,18 @@ def stream_features(spark, d):
     )
 
 
+def stream_state(spark, d):
+    """What is stored when the stream has ended: no bucket behind the user's last window."""
+    tx, folder = _requests(spark, d)
+    out = store_features_stream(tx.select("user_id", "arrival_seq", "event_time_ms", "amount"), CFG)
+    query = score.start_sink(
+        out, f"{folder}/out", f"{folder}/out-state", format="parquet", available_now=True
+    )
+    query.awaitTermination()
+    stored = stored_buckets(spark, f"{folder}/out-state")
+    return stored.withColumn("amount_sum", F.round("amount_sum", 6))
+
+
 def stream_responses(spark, d):
     tx, folder = _requests(spark, d)
     out = score.stream_score(tx, cfg=CFG, repeatable_ids=True).select(*RESPONSE_COLUMNS)
@@ -136,7 +148,7 @@ def stream_dead_letters(spark, d):
     """Plain request lines with planted faults: lines of each cause that a stream sets aside."""
     folder = shared_folder(spark)
     lines = faulty_requests(transactions(read_table(spark, d, "events")))
-    score.publish(lines, f"{folder}/in", CHUNKS, text=True)
+    score.publish(lines, f"{folder}/in", FILES, text=True)
     decoded = score.read_request_lines(spark, f"{folder}/in", maxFilesPerTrigger="1")
     _, dead = dead_letter_split(decoded)
     found = _run(spark, dead, folder, dead.schema)
@@ -146,6 +158,7 @@ def stream_dead_letters(spark, d):
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "stream_store_features": stream_features,
+        "stream_state": stream_state,
         "stream_score": stream_responses,
         "stream_future_clamp": stream_clamped,
         "stream_metrics": stream_counters,

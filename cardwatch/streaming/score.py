@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -11,7 +15,7 @@ from cardwatch.operators.features import with_row_features
 from cardwatch.operators.load_stats import router_counters
 from cardwatch.plans.score import scored_record, slim, with_scores
 from cardwatch.sources.requests import decode_requests
-from cardwatch.streaming.state import store_features_stream
+from cardwatch.streaming.state import stateful_settings, store_features_stream
 
 # A request line with its arrival number; the other columns may be absent.
 LINES = "arrival_seq long, elapsed_before_l2_us long, elapsed_total_us long, value string"
@@ -41,39 +45,66 @@ def read_request_lines(
 ) -> DataFrame:
     """Decoded plain request lines, one per line of text files, with arrival numbers.
 
-    The number of a line is its file's modification time in ms, times 2 ** 22, plus its
-    place in the file. So files must differ in that time, as files of one writer do, and
-    have under 4 million lines; a file is one task's work. Lines that carry numbers of
-    their own are read by `read_requests`.
+    The number of a line is made of its file's modification time in ms, the first byte of
+    the part of the file that a task reads, and the line's place in that task. It grows with
+    the files' times and with the place in a file, wherever files are cut into parts; a file
+    of any size is read by as many tasks as it has parts. Files must differ in their time,
+    as files of one writer do. Lines that carry numbers of their own are read by
+    `read_requests`. Start a stream of them with `start_sink`.
     """
     reader = spark.readStream if stream else spark.read
-    files = reader.options(**options).text(path, wholetext=True)
-    time = F.unix_millis("_metadata.file_modification_time")
-    lines = files.select(time.alias("time"), F.posexplode(F.split("value", "\r?\n")).alias("at", "value"))
-    lines = lines.filter(F.trim("value") != "")
-    return decode_requests(
-        lines.select((F.col("time") * 2**22 + F.col("at")).alias("arrival_seq"), "value")
-    )
+    lines = reader.options(**options).text(path)
+    wide = [
+        (F.unix_millis("_metadata.file_modification_time"), 2**76),
+        (F.col("_metadata.file_block_start"), 2**33),
+        (F.monotonically_increasing_id().bitwiseAND(2**33 - 1), 1),
+    ]
+    number = sum(c.cast("decimal(20,0)") * F.lit(Decimal(by)) for c, by in wide)
+    lines = lines.select(number.cast("decimal(38,0)").alias("arrival_seq"), "value")
+    return decode_requests(lines.filter(F.trim("value") != ""))
+
+
+#: Bytes and lines of a published file.
+FILE_BYTES, FILE_ROWS = 100 * 1024**2, 2_000_000
 
 
 def publish(
-    lines: DataFrame, path: str, chunks: int = 8, order: str = "arrival_seq", text: bool = False
-) -> None:
+    lines: DataFrame,
+    path: str,
+    files: int | None = None,
+    order: str = "arrival_seq",
+    text: bool = False,
+) -> int:
     """Writes lines in arrival order: as JSON with their columns, or as plain text.
 
-    Arrival is cut into `chunks` ranges of about equal size. Each becomes one file, sorted,
-    by a job of its own, so it is newer than all earlier ones. A reader may then take any
-    number of files at a time: what is cut changes no result. Choose `chunks` so that a
-    file is some 100 MB.
+    Arrival is cut into ranges, one sorted file each: as many as keep a file below 100 MB
+    and 2 million lines, or at least `files`. One job writes them all into a folder that
+    readers don't look at; then they are moved to `path` one by one in the order of their
+    ranges, each with a later time than all before it. So a reader may take any number of
+    files at a time: what is cut changes no result. Returns the number of files. The
+    store must be able to set a file's time.
     """
-    cuts = F.percentile_approx(order, [i / chunks for i in range(1, chunks)] or [1.0], 10_000)
-    edges = sorted({int(c) for c in lines.agg(cuts.alias("cuts")).first().cuts or ()})
-    at = F.coalesce(F.col(order), F.lit(-(2**63)))
-    for low, high in zip([None, *edges], [*edges, None], strict=True):
-        part = lines if low is None else lines.filter(at > low)
-        part = (part if high is None else part.filter(at <= high)).repartition(1)
-        writer = part.sortWithinPartitions(order).select("value") if text else part
-        (writer.write.mode("append").text if text else writer.write.mode("append").json)(path)
+    size = lines.agg(F.count("*").alias("n"), F.sum(F.octet_length("value")).alias("bytes")).first()
+    asked = max(files or 1, -(-size["n"] // FILE_ROWS), -(-(size["bytes"] or 0) // FILE_BYTES))
+    ranges = lines.repartitionByRange(asked, F.asc_nulls_first(order)).sortWithinPartitions(order)
+    hidden = f"{path}/.unpublished-{uuid.uuid4()}"
+    (ranges.select("value").write.text if text else ranges.write.json)(hidden)
+
+    spark = lines.sparkSession
+    paths = spark._jvm.org.apache.hadoop.fs.Path
+    target = paths(path)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    newest = max((f.getModificationTime() for f in fs.listStatus(target)), default=0)
+    first = max(newest + 1, time.time_ns() // 1_000_000)
+    parts = sorted(f.getPath().getName() for f in fs.listStatus(paths(hidden)))
+    parts = [name for name in parts if name.startswith("part-")]
+    for k, name in enumerate(parts):
+        at = paths(hidden, name)
+        fs.setTimes(at, first + k, -1)
+        if not fs.rename(at, paths(target, name)):
+            raise OSError(f"could not publish {name} in {path}")
+    fs.delete(paths(hidden), True)
+    return len(parts)
 
 
 def now_ms() -> Column:
@@ -175,4 +206,5 @@ def start_sink(
     )
     if available_now:
         writer = writer.trigger(availableNow=True)
-    return writer.start()
+    with stateful_settings(responses.sparkSession):
+        return writer.start()

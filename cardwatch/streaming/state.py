@@ -1,35 +1,31 @@
 """History features of a stream: one keyed state per user.
 
-State of a user: largest event time, smallest event time, and count and amount
-per 100 ms bucket within the long window. Per micro-batch and user the rows are
+State of a user: largest event time, and count and amount per 100 ms bucket within the
+long window, as a map of cells of buckets. Per micro-batch and user the rows are
 handled in arrival order with numpy, in blocks: each block asks the bucket table
-and itself, then joins the table.
+and itself, then joins the table. Cells that changed are written, expired ones removed.
 """
 
 from __future__ import annotations
 
 import sys
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from cardwatch.config import Config
 from cardwatch.operators.segments import arrivals
 from cardwatch.operators.windows import STORE_FEATURES
 
-STATE = T.StructType(
-    [
-        T.StructField("top", T.LongType()),
-        T.StructField("bucket", T.ArrayType(T.LongType())),
-        T.StructField("n", T.ArrayType(T.LongType())),
-        T.StructField("s", T.ArrayType(T.DoubleType())),
-    ]
-)
+#: Buckets of a state entry: 25.6 s, so a long window has about a dozen entries.
+CELL = 256
+_ENTRY = "bucket array<long>, n array<long>, s array<double>"
 _BLOCK = 256
 
 # Executors get the state function itself and need no installed package.
@@ -109,6 +105,79 @@ def _range_sums(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.n
     return np.where(first < last, sums, 0)
 
 
+class Keeper(StatefulProcessor):
+    """One user's history as a map of cells; a micro-batch writes the cells that it changed.
+
+    A user's rows of a micro-batch come in arrival order and in pieces, one Arrow batch at a
+    time, so memory holds one piece and one window of buckets, whatever the number of rows.
+    """
+
+    def __init__(
+        self,
+        columns: list[str],
+        names: list[str],
+        order: str,
+        settings: tuple[int, int, int, int],
+        idle_ms: int | None,
+    ):
+        self.columns, self.names, self.order = columns, names, order
+        self.settings, self.idle_ms = settings, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.top = handle.getValueState("top", "top long")
+        self.cells = handle.getMapState("cells", "cell long", _ENTRY)
+
+    def handleInputRows(  # noqa: N802
+        self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object  # noqa: N803
+    ) -> Iterator[pd.DataFrame]:
+        stored = {cell: entry for (cell,), entry in self.cells.iterator()} if self.top.exists() else {}
+        columns = [[v for cell in sorted(stored) for v in stored[cell][k]] for k in range(3)]
+        top = self.top.get()[0] if self.top.exists() else None
+        history = History(*self.settings, (top, *columns))
+        last = None
+        for piece in rows:
+            # The planner names a column by what it is an alias of.
+            piece.columns = self.columns
+            arrival = piece[self.order].to_numpy()
+            if (arrival[1:] < arrival[:-1]).any() or (last is not None and arrival[0] < last):
+                raise ValueError(f"rows of {key} do not come by {self.order}; start the query with start_sink")
+            last = arrival[-1]
+            features = history.ask_and_add(
+                piece["_time"].to_numpy("int64"), piece["amount"].to_numpy("float64")
+            )
+            yield piece[self.names].assign(**{c: features[:, i] for i, c in enumerate(STORE_FEATURES)})
+        self._store(history, stored)
+        if self.idle_ms is not None:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
+
+    def _store(self, history: History, stored: dict[int, tuple]) -> None:
+        self.top.update((history.top,))
+        cell = history.bucket // CELL
+        edges = np.flatnonzero(np.diff(cell, prepend=cell[:1] - 1))
+        now = {}
+        for first, end in zip(edges, [*edges[1:], len(cell)], strict=True):
+            part = slice(first, end)
+            now[int(cell[first])] = tuple(x[part].tolist() for x in (history.bucket, history.n, history.s))
+        for number, entry in now.items():
+            if number not in stored or tuple(map(list, stored[number])) != entry:
+                self.cells.updateValue((number,), entry)
+        for number in stored.keys() - now.keys():
+            self.cells.removeKey((number,))
+
+    def handleExpiredTimer(  # noqa: N802
+        self, key: tuple, timerValues: object, expiredTimerInfo: object  # noqa: N803
+    ) -> Iterator[pd.DataFrame]:
+        self.top.clear()
+        self.cells.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
 def store_features_stream(
     tx: DataFrame,
     cfg: Config = Config(),
@@ -121,36 +190,45 @@ def store_features_stream(
     No watermark: late rows are scored however late, and lateness is per user.
     State of a user stays for ever unless `idle_timeout_ms` is given, which
     changes the features of users who come back later than that.
+
+    Spark sorts each task's rows by user and arrival, on disk where they are many. Its check
+    of streaming plans refuses every sort, also this one within a micro-batch, and map state
+    needs RocksDB: start the query with `start_sink`, or under `stateful_settings`. Rows out
+    of order stop the query.
     """
     events = arrivals(tx, cfg).drop("_segment", "_low", "_bucket", "_n", "_sum", "_real")
-    names = list(tx.columns)
     settings = cfg.short_buckets, cfg.long_buckets, cfg.bucket_ms, cfg.late_tolerance_ms
     out = T.StructType(
         [*tx.schema.fields, *[T.StructField(c, T.DoubleType()) for c in STORE_FEATURES]]
     )
-
-    def update(
-        _: tuple, batches: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        # One user's rows of one micro-batch; arrival order is by column.
-        rows = pd.concat(list(batches)).sort_values(order)
-        history = History(*settings, state.get if state.exists else None)
-        features = history.ask_and_add(
-            rows["_time"].to_numpy("int64"), rows["amount"].to_numpy("float64")
-        )
-        state.update(history.as_tuple())
-        if idle_timeout_ms is not None:
-            state.setTimeoutDuration(idle_timeout_ms)
-        yield rows[names].assign(
-            **{c: features[:, i] for i, c in enumerate(STORE_FEATURES)}
-        )
-
-    timeout = (
-        GroupStateTimeout.NoTimeout
-        if idle_timeout_ms is None
-        else GroupStateTimeout.ProcessingTimeTimeout
-    )
-    return events.groupBy(key).applyInPandasWithState(update, out, STATE, "append", timeout)
+    keeper = Keeper(events.columns, tx.columns, order, settings, idle_timeout_ms)
+    mode = "none" if idle_timeout_ms is None else "processingTime"
+    ordered = events.repartition(key).sortWithinPartitions(key, order)
+    return ordered.groupBy(key).transformWithStateInPandas(keeper, out, "append", mode)
+
+
+@contextmanager
+def stateful_settings(spark: SparkSession) -> Iterator[None]:
+    """Session settings under which a stream with keyed history has to be started."""
+    needed = {
+        "spark.sql.streaming.stateStore.providerClass": (
+            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+        ),
+        "spark.sql.streaming.unsupportedOperationCheck": "false",
+    }
+    before = {name: spark.conf.get(name, None) for name in needed}
+    for name, value in needed.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def stored_buckets(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """What a stopped stream has in its state: a row for each user and bucket, with count and
+    amount of the accepted rows."""
+    cells = spark.read.format("statestore").option("stateVarName", "cells").load(checkpoint)
+    entry = F.arrays_zip("user_map_value.bucket", "user_map_value.n", "user_map_value.s")
+    return cells.select("key.*", F.inline(entry).alias("bucket", "cnt", "amount_sum"))
