@@ -23,8 +23,11 @@ from cardwatch.config import Config
 from cardwatch.operators.segments import arrivals
 from cardwatch.operators.windows import STORE_FEATURES
 
-#: Buckets of a state entry: 25.6 s, so a long window has about a dozen entries.
-CELL = 256
+#: Buckets of a state entry: each entry read or written is a call to the state store, so a
+#: long window has about three.
+CELL = 1024
+#: Up to so many buckets are kept beside the largest time: one call each way for most users.
+INLINE = 256
 _ENTRY = "bucket array<long>, n array<long>, s array<double>"
 _BLOCK = 256
 
@@ -125,15 +128,16 @@ class Keeper(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.top = handle.getValueState("top", "top long")
+        self.head = handle.getValueState("head", f"top long, inline boolean, {_ENTRY}")
         self.cells = handle.getMapState("cells", "cell long", _ENTRY)
 
     def handleInputRows(  # noqa: N802
         self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object  # noqa: N803
     ) -> Iterator[pd.DataFrame]:
-        stored = {cell: entry for (cell,), entry in self.cells.iterator()} if self.top.exists() else {}
-        columns = [[v for cell in sorted(stored) for v in stored[cell][k]] for k in range(3)]
-        top = self.top.get()[0] if self.top.exists() else None
+        top, inline, *columns = self.head.get() or (None, True, (), (), ())
+        stored = {} if inline else {cell: entry for (cell,), entry in self.cells.iterator()}
+        if not inline:
+            columns = [[v for cell in sorted(stored) for v in stored[cell][k]] for k in range(3)]
         history = History(*self.settings, (top, *columns))
         last = None
         for piece in rows:
@@ -154,13 +158,15 @@ class Keeper(StatefulProcessor):
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
 
     def _store(self, history: History, stored: dict[int, tuple]) -> None:
-        self.top.update((history.top,))
-        cell = history.bucket // CELL
-        edges = np.flatnonzero(np.diff(cell, prepend=cell[:1] - 1))
+        top, *table = history.as_tuple()
+        inline = len(history.bucket) <= INLINE
+        self.head.update((top, inline, *(table if inline else ([], [], []))))
         now = {}
-        for first, end in zip(edges, [*edges[1:], len(cell)], strict=True):
-            part = slice(first, end)
-            now[int(cell[first])] = tuple(x[part].tolist() for x in (history.bucket, history.n, history.s))
+        if not inline:
+            cell = history.bucket // CELL
+            edges = np.flatnonzero(np.diff(cell, prepend=cell[0] - 1)).tolist()
+            for first, end in zip(edges, [*edges[1:], len(cell)], strict=True):
+                now[int(cell[first])] = tuple(x[first:end] for x in table)
         for number, entry in now.items():
             if number not in stored or tuple(map(list, stored[number])) != entry:
                 self.cells.updateValue((number,), entry)
@@ -170,7 +176,7 @@ class Keeper(StatefulProcessor):
     def handleExpiredTimer(  # noqa: N802
         self, key: tuple, timerValues: object, expiredTimerInfo: object  # noqa: N803
     ) -> Iterator[pd.DataFrame]:
-        self.top.clear()
+        self.head.clear()
         self.cells.clear()
         return iter(())
 
@@ -229,6 +235,9 @@ def stateful_settings(spark: SparkSession) -> Iterator[None]:
 def stored_buckets(spark: SparkSession, checkpoint: str) -> DataFrame:
     """What a stopped stream has in its state: a row for each user and bucket, with count and
     amount of the accepted rows."""
-    cells = spark.read.format("statestore").option("stateVarName", "cells").load(checkpoint)
-    entry = F.arrays_zip("user_map_value.bucket", "user_map_value.n", "user_map_value.s")
-    return cells.select("key.*", F.inline(entry).alias("bucket", "cnt", "amount_sum"))
+    read = spark.read.format("statestore")
+    inline = read.option("stateVarName", "head").load(checkpoint).select("key.*", "value.*")
+    cells = read.option("stateVarName", "cells").load(checkpoint).select("key.*", "user_map_value.*")
+    every = inline.drop("top", "inline").unionByName(cells)
+    entry = F.arrays_zip("bucket", "n", "s")
+    return every.select(*every.columns[:-3], F.inline(entry).alias("bucket", "cnt", "amount_sum"))

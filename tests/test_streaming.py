@@ -8,7 +8,7 @@ from cardwatch.config import Config
 from cardwatch.operators.windows import STORE_FEATURES
 from cardwatch.plans.score import scored_features
 from cardwatch.sources.requests import dead_letter_split, decode_requests
-from cardwatch.streaming import score
+from cardwatch.streaming import score, state
 from tests.model import history_features
 
 
@@ -110,6 +110,43 @@ def test_cuts_change_no_result(spark, tmp_path, chunks, files):
             assert got[row.arrival_seq][name] == pytest.approx(row[name], abs=1e-9)
 
 
+def test_cells_and_pieces_change_no_result(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(state, "INLINE", 3)
+    monkeypatch.setattr(state, "CELL", 16)
+    rnd, clock, rows = random.Random(8), 1_700_000_000_000, []
+    for seq in range(600):
+        clock += rnd.choice([0, 50, 100, 400, 900])
+        late = rnd.choice([0, 0, 0, 500, 2_500])
+        rows.append((rnd.choice("aaab"), seq, clock - late, float(rnd.randrange(99))))
+    source = spark.createDataFrame(rows, "user_id string, arrival_seq long, event_time_ms long, amount double")
+    for low in (0, 200, 400):
+        part = source.filter(f"arrival_seq between {low} and {low + 199}").repartition(3)
+        part.write.mode("append").parquet(str(tmp_path / f"in{low}"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "17")
+    cfg = Config(short_window_s=5, long_window_s=20)
+    try:
+        for low in (0, 200, 400):
+            live = tmp_path / "in"
+            live.mkdir(exist_ok=True)
+            for file in (tmp_path / f"in{low}").glob("part-*"):
+                os.rename(file, live / file.name)
+            tx = spark.readStream.schema(source.schema).parquet(str(live))
+            out = state.store_features_stream(tx, cfg)
+            query = score.start_sink(
+                out, str(tmp_path / "out"), str(tmp_path / "state"), "parquet", available_now=True
+            )
+            query.awaitTermination()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = history_features(rows, cfg.short_buckets, cfg.long_buckets)
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert {(r.user_id, r.arrival_seq): tuple(r[c] for c in STORE_FEATURES) for r in got} == want
+    newest = {u: max(r[2] for r in rows if r[0] == u) // 100 for u in "ab"}
+    kept = state.stored_buckets(spark, str(tmp_path / "state")).collect()
+    assert all(r.bucket > newest[r.user_id] - cfg.long_buckets for r in kept)
+    assert sum(r.user_id == "a" for r in kept) > 16
+
+
 def test_text_lines_are_numbered_in_order(spark, tmp_path):
     rows = [(seq, f'{{"n":{seq}}}') for seq in range(90)]
     lines = spark.createDataFrame(rows, "arrival_seq long, value string").repartition(4)
