@@ -18,8 +18,6 @@ from cardwatch.streaming.state import store_features_stream, stored_buckets
 CFG = Config()
 #: A table is published in so many files at least, each of which is a micro-batch.
 FILES = 5
-#: A window is reported when it lies so far behind.
-CLOSED_MS = 600_000
 
 
 def _run(spark: SparkSession, rows: DataFrame, folder: str, schema, name: str = "out") -> DataFrame:
@@ -116,11 +114,10 @@ def _published_lateness(spark: SparkSession, folder: str) -> int:
 
 
 def stream_counters(spark, d):
-    """Scored rows as one stream, its sink as the input of the counter stream.
+    """Scored rows as one stream, its sink as the input of a report by minutes.
 
-    Windows of a minute that lie CLOSED_MS behind the end. The lateness is as long as the
-    micro-batches of scoring need, whose files come in any order, so no row is dropped. If
-    that is longer than CLOSED_MS, a batch aggregate gives the windows between.
+    Windows that are still open at the end are reported as well. The lateness is as long as
+    the micro-batches of scoring need, whose files come in any order, so no row is dropped.
     """
     tx, folder = _requests(spark, d)
     names = ("event_time_ms", "route", "decision", "before_us", "total_us")
@@ -130,18 +127,13 @@ def stream_counters(spark, d):
         .select(*names)
     )
     _run(spark, scored, folder, scored.schema)
-    lateness = max(CLOSED_MS, _published_lateness(spark, folder))
-    report = ("1 minute", f"{lateness} milliseconds", ("before", "total"))
+    lateness = f"{_published_lateness(spark, folder) + 1} milliseconds"
     log = spark.readStream.schema(scored.schema).option("maxFilesPerTrigger", "4")
-    counted = score.stream_metrics(log.parquet(f"{folder}/out"), *report)
-    closed = _run(spark, counted, folder, counted.schema, "counters")
-    if lateness == CLOSED_MS:
-        return closed
-    rows = spark.read.schema(scored.schema).parquet(f"{folder}/out")
-    last = rows.agg(F.max("event_time_ms")).first()[0]
-    start, end = ((last - late) // 60_000 * 60_000 for late in (lateness, CLOSED_MS))
-    tail = rows.filter((F.col("event_time_ms") >= start) & (F.col("event_time_ms") < end))
-    return closed.unionByName(score.stream_metrics(tail, *report))
+    counted = score.stream_metrics(log.parquet(f"{folder}/out"), "1 minute", lateness, ("before", "total"))
+    query = score.start_report(counted, f"{folder}/report", f"{folder}/report-state", available_now=True)
+    query.awaitTermination()
+    remove_folder(spark, f"{folder}/report-state")
+    return score.read_report(spark, f"{folder}/report", counted.schema)
 
 
 def stream_dead_letters(spark, d):

@@ -6,7 +6,7 @@ import time
 import uuid
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from cardwatch.config import Config
@@ -177,7 +177,7 @@ def stream_metrics(
     """Router counters, and distributions of recorded stage times, per event-time window.
 
     A report: the watermark is safe here. In append mode a window comes once, when it
-    lies a `lateness` behind.
+    lies a `lateness` behind; in update mode (`start_report`) whenever it has new rows.
     """
     timed = scored.withColumn("event_time", F.timestamp_millis("event_time_ms"))
     windowed = timed.withWatermark("event_time", lateness)
@@ -208,3 +208,32 @@ def start_sink(
         writer = writer.trigger(availableNow=True)
     with stateful_settings(responses.sparkSession):
         return writer.start()
+
+
+def start_report(
+    counted: DataFrame, path: str, checkpoint: str, available_now: bool = False
+) -> StreamingQuery:
+    """Keeps a report of `stream_metrics` up to date, windows still open included.
+
+    Each micro-batch writes the windows that it changed into a folder of its own number,
+    over what an earlier attempt at it may have left; so a repeated micro-batch counts once.
+    """
+
+    def write(changed: DataFrame, batch: int) -> None:
+        changed.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+    writer = counted.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
+    writer = writer.foreachBatch(write)
+    if available_now:
+        writer = writer.trigger(availableNow=True)
+    return writer.start()
+
+
+def read_report(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The report as of its last micro-batch: of each window the newest row."""
+    with_batch = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
+    written = spark.read.schema(with_batch).parquet(path)
+    newest = written.groupBy("window_start_ms").agg(
+        F.max_by(F.struct(*schema.names), "batch").alias("row")
+    )
+    return newest.select("row.*")
