@@ -283,6 +283,16 @@ def _model(expression: str) -> str:
     return f"WITH {_FEATURES} SELECT arrival_seq, round({expression}, 6) AS score FROM f"
 
 
+_SPLITS = """1 / (1 + exp(-(-0.5::double
+    + CASE WHEN amount_log > 2.5 THEN 0.6::double ELSE -0.4 END
+    + CASE WHEN velocity_300s > 0.5 THEN 0.7::double ELSE -0.2 END
+    + CASE WHEN mcc_risk > 0.5 THEN 1.1::double ELSE 0.1 END
+    + CASE WHEN is_3ds > 0.5 THEN -0.9::double ELSE 0.9 END)))"""
+_RISK_TABLE = f"""WITH tx AS ({_TX}), risks AS (
+  SELECT mcc, round(count(*) FILTER (WHERE event_type = 'error') / CAST(count(*) AS double), 6) AS risk
+  FROM tx JOIN events ON event_id = arrival_seq GROUP BY mcc)
+  SELECT arrival_seq, CASE WHEN risk > 0 AND mcc <> 5411 THEN risk ELSE 0.2::double END AS mcc_risk
+  FROM tx JOIN risks USING (mcc)"""
 _SIGNALS = ", ".join(f"CASE WHEN {s} > {limit}::double THEN '{s}' END" for s, _, limit in _EVIDENCE)
 _DEAD = f"""WITH tx AS ({_TX}), c AS (
   SELECT *, CASE arrival_seq % 16 WHEN 0 THEN 'channel' WHEN 1 THEN 'missing: amount'
@@ -335,6 +345,8 @@ def oracle_sql() -> dict[str, str]:
             "CASE mcc WHEN 7995 THEN 1.0::double WHEN 6011 THEN 0.8 WHEN 4829 THEN 0.6 "
             "ELSE 0.2 END AS mcc_risk"
         ),
+        "mcc_risk_table": _RISK_TABLE,
+        "mcc_risk_shuffled": _RISK_TABLE,
         "device_risky": _tx("CAST(device_id LIKE '%0' AS integer)::double AS device_risky"),
         "ip_risky": _tx("CAST(ip_prefix LIKE '198.%' AS integer)::double AS ip_risky"),
         "is_3ds_num": _tx("CAST(is_3ds AS integer)::double AS is_3ds"),
@@ -359,6 +371,12 @@ def oracle_sql() -> dict[str, str]:
             SELECT arrival_seq, s1 > 0.35::double AND s1 < 0.65::double AS uncertain FROM scored""",
         "cascade_route": f"""WITH {_scored(limited=False)}
             SELECT arrival_seq, route, {_round('s1', 'score')}, decision FROM scored""",
+        "cascade_model": f"""WITH {_scored()}, m AS (SELECT arrival_seq, route, elapsed_total_us AS us,
+              CASE WHEN route = 'l2' THEN {_SPLITS} END AS s2, s1 FROM scored),
+            n AS (SELECT *, coalesce(s2, s1) AS score FROM m)
+            SELECT arrival_seq, route, {_round('s2', 'score')}, CASE WHEN us > 10000 THEN 'degrade_allow'
+              WHEN score >= 0.85::double THEN 'deny' WHEN score >= 0.65::double THEN 'manual_review'
+              ELSE 'allow' END AS decision FROM n""",
         "budget_route": f"WITH {_scored()} SELECT arrival_seq, route FROM scored",
         "decide": f"WITH {_scored()} SELECT arrival_seq, {_round('score')}, decision FROM scored",
         "prev_max_time": _late("pm AS prev_max_time_ms"),

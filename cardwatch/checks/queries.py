@@ -11,11 +11,12 @@ from cardwatch import sinks
 from cardwatch.config import Config
 from cardwatch.functions import features as X
 from cardwatch.functions import scoring as S
-from cardwatch.models import default_models, weights_table
+from cardwatch.models import Stump, default_models, stump_model, weights_table
 from cardwatch.operators import knee, load_stats
 from cardwatch.operators.expiry import expired
 from cardwatch.operators.features import feature_long, feature_vector, with_row_features
 from cardwatch.operators.linear_long import linear_score_long
+from cardwatch.operators.lookup import BROADCAST_CODES, mcc_risk_lookup
 from cardwatch.operators.windows import (
     accepted,
     bucket_preagg,
@@ -226,6 +227,43 @@ def cascade(spark, d):
     return _unlimited(spark, d).select("arrival_seq", "route", _r("s1"), _r("score"), "decision")
 
 
+def cascade_model(spark, d):
+    """The cascade with a second model that is no weighted sum."""
+    second = stump_model(
+        "splits",
+        -0.5,
+        (
+            Stump("amount_log", 2.5, -0.4, 0.6),
+            Stump("velocity_300s", 0.5, -0.2, 0.7),
+            Stump("mcc_risk", 0.5, 0.1, 1.1),
+            Stump("is_3ds", 0.5, 0.9, -0.9),
+        ),
+    )
+    scored = scored_features(_tx(spark, d), replace(MODELS, l2=second), CFG)
+    return scored.select("arrival_seq", "route", _r("s2"), _r("score"), "decision")
+
+
+def risk_table(broadcast_codes: int) -> Query:
+    """Risk of a category: its share of failed events; one code is left out of the table."""
+
+    def run(spark, d):
+        events = _events(spark, d)
+        tx = tables.transactions(events).select("arrival_seq", "mcc", "amount")
+        failed = events.select(
+            F.col("event_id").alias("arrival_seq"), (F.col("event_type") == "error").alias("failed")
+        )
+        risks = (
+            tx.join(failed, "arrival_seq")
+            .groupBy("mcc")
+            .agg(F.round(F.count_if("failed") / F.count("*"), 6).alias("risk"))
+            .filter("risk > 0 AND mcc <> 5411")
+        )
+        rated = mcc_risk_lookup(tx, risks, broadcast_codes=broadcast_codes)
+        return rated.select("arrival_seq", "mcc_risk")
+
+    return run
+
+
 def budget(spark, d):
     return _scored(spark, d).select("arrival_seq", "route")
 
@@ -349,6 +387,9 @@ def queries() -> dict[str, Query]:
         "amount_log": _row("amount_log", lambda: F.round(X.amount_log(F.col("amount") - 20), 6)),
         "is_foreign": _row("is_foreign", lambda: X.is_foreign(F.col("country"))),
         "mcc_risk": _row("mcc_risk", lambda: X.mcc_risk(F.col("mcc"))),
+        "mcc_risk_table": risk_table(BROADCAST_CODES),
+        # The same rows with a table that counts as too large to broadcast.
+        "mcc_risk_shuffled": risk_table(0),
         "device_risky": _row("device_risky", lambda: X.device_risky(F.col("device_id"))),
         "ip_risky": _row("ip_risky", lambda: X.ip_risky(F.col("ip_prefix"))),
         "is_3ds_num": _row("is_3ds", lambda: F.col("is_3ds").cast("double")),
@@ -367,6 +408,7 @@ def queries() -> dict[str, Query]:
         "score_l2": layer(MODELS.l2),
         "uncertain_band": band,
         "cascade_route": cascade,
+        "cascade_model": cascade_model,
         "budget_route": budget,
         "decide": decision,
         # windows

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, functions as F
 
 from cardwatch.config import Config
-from cardwatch.models import LinearModel
+from cardwatch.models import ArrowModel, LinearModel
 
 
 def sigmoid(z: Column) -> Column:
@@ -24,6 +28,40 @@ def linear_score(model: LinearModel, columns: list[str]) -> Column:
     return clamp01(sigmoid(reduce(lambda z, term: z + term, terms, F.lit(model.bias))))
 
 
+def routed_score(model: LinearModel | ArrowModel, columns: list[str], asked: Column) -> Column:
+    """Probability of a model on the rows that ask for it, null on the others.
+
+    A linear model is an expression. Of the rows for an Arrow model only those that ask
+    carry features; they are gathered from each batch, scored and put back in place. A score
+    that such a model leaves null is NaN.
+    """
+    if isinstance(model, LinearModel):
+        # CASE is lazy: the model is evaluated only on its route.
+        return F.when(asked, linear_score(model, columns))
+    features = F.struct(*[F.col(f).cast("double").alias(f) for f in columns])
+    return _gathered(model)(F.when(asked, features))
+
+
+def _gathered(model: ArrowModel):
+    @F.arrow_udf("double")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        score = model.load()
+        for rows in batches:
+            asked = rows.is_valid()
+            some = rows.filter(asked)
+            out = pa.nulls(len(rows), pa.float64())
+            if len(some):
+                found = score(pa.RecordBatch.from_struct_array(some))
+                if len(found) != len(some):
+                    raise ValueError(f"{model.name}: {len(found)} scores for {len(some)} rows")
+                inside = np.clip(found.cast(pa.float64()).to_numpy(zero_copy_only=False), 0.0, 1.0)
+                out = pc.replace_with_mask(out, asked, pa.array(inside))
+            yield out
+
+    # Filters above must not repeat the model's work below them.
+    return run.asNondeterministic()
+
+
 def in_band(s1: Column, cfg: Config) -> Column:
     return (s1 > cfg.l1_uncertain_low) & (s1 < cfg.l1_uncertain_high)
 

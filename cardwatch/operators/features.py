@@ -5,20 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from cardwatch.functions import features as X
+from cardwatch.operators.lookup import mcc_risk_lookup
 from cardwatch.schemas import FEATURES
 
 
-def with_row_features(tx: DataFrame) -> DataFrame:
-    """Adds the six signals that need only the row itself.
+def with_row_features(tx: DataFrame, mcc_risks: DataFrame | None = None) -> DataFrame:
+    """Adds the six signals that need only the row itself, or the table of category risks.
 
     `is_3ds` becomes a number. Applying this before the shuffle by user lets
     the strings it reads be pruned from the shuffled rows.
     """
-    return tx.withColumns(
+    rated = tx.withColumn("mcc_risk", X.mcc_risk(F.col("mcc")))
+    if mcc_risks is not None:
+        rated = mcc_risk_lookup(tx, mcc_risks)
+    return rated.withColumns(
         {
             "amount_log": X.amount_log(F.col("amount")),
             "is_foreign": X.is_foreign(F.col("country")),
-            "mcc_risk": X.mcc_risk(F.col("mcc")),
             "device_risky": X.device_risky(F.col("device_id")),
             "ip_risky": X.ip_risky(F.col("ip_prefix")),
             "is_3ds": F.col("is_3ds").cast("double"),

@@ -21,8 +21,7 @@ def with_scores(features: DataFrame, models: Models, cfg: Config) -> DataFrame:
     return (
         features.withColumn("s1", S.linear_score(models.l1, columns))
         .withColumn("route", S.route(F.col("s1"), before_l2, cfg))
-        # CASE is lazy: the second model is evaluated only on its route.
-        .withColumn("s2", F.when(F.col("route") == "l2", S.linear_score(models.l2, columns)))
+        .withColumn("s2", S.routed_score(models.l2, columns, F.col("route") == "l2"))
         .withColumn("score", S.final_score(F.col("route"), F.col("s1"), F.col("s2")))
         .withColumn("decision", S.decide(F.col("score"), total, cfg))
         .withColumn("reason", S.reasons(F.col("route") == "l2"))
@@ -30,10 +29,16 @@ def with_scores(features: DataFrame, models: Models, cfg: Config) -> DataFrame:
 
 
 def scored_features(
-    tx: DataFrame, models: Models | None = None, cfg: Config = Config()
+    tx: DataFrame,
+    models: Models | None = None,
+    cfg: Config = Config(),
+    mcc_risks: DataFrame | None = None,
 ) -> DataFrame:
-    """Every transaction with features, both scores, route, decision and evidence."""
-    features = store_features(slim(with_row_features(tx)), cfg)
+    """Every transaction with features, both scores, route, decision and evidence.
+
+    mcc_risks: a table (mcc, risk) in place of the default one, see `mcc_risk_lookup`.
+    """
+    features = store_features(slim(with_row_features(tx, mcc_risks)), cfg)
     return with_scores(features, models or default_models(), cfg)
 
 
@@ -63,8 +68,8 @@ def scored_record(scored: DataFrame, repeatable_ids: bool = False) -> DataFrame:
     )
 
 
-def slim(tx: DataFrame) -> DataFrame:
-    """Only what scoring reads travels through the shuffle by user."""
+def slim(tx: DataFrame, *keep: str) -> DataFrame:
+    """Only what scoring reads, and `keep`, travels through the shuffle by user."""
     wanted = (
         "user_id",
         "arrival_seq",
@@ -76,6 +81,7 @@ def slim(tx: DataFrame) -> DataFrame:
         "elapsed_before_l2_us",
         "elapsed_total_us",
         *FEATURES,
+        *keep,
     )
     return tx.select(*[c for c in tx.columns if c in wanted])
 

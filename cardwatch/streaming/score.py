@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 import uuid
+from collections.abc import Callable
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -13,6 +14,7 @@ from cardwatch.config import Config
 from cardwatch.models import Models, default_models
 from cardwatch.operators.features import with_row_features
 from cardwatch.operators.load_stats import router_counters
+from cardwatch.operators.lookup import mcc_risk_lookup
 from cardwatch.plans.score import scored_record, slim, with_scores
 from cardwatch.sources.requests import decode_requests
 from cardwatch.streaming.state import stateful_settings, store_features_stream
@@ -129,6 +131,36 @@ def stream_score(
     return scored_record(stream_scored_features(tx, models, cfg), repeatable_ids)
 
 
+def start_scoring(
+    tx: DataFrame,
+    risks: Callable[[SparkSession], DataFrame],
+    path: str,
+    checkpoint: str,
+    models: Models | None = None,
+    cfg: Config = Config(),
+    available_now: bool = False,
+) -> StreamingQuery:
+    """Scores a stream with a table of category risks that is read anew each micro-batch.
+
+    `risks` opens the table (mcc, risk); a change of it counts from the next micro-batch on.
+    Responses of a micro-batch are written as JSON to a folder of its number, over what an
+    earlier attempt at it may have left.
+    """
+    slimmed = slim(with_row_features(tx), "mcc")
+    features = store_features_stream(slimmed, cfg)
+
+    def write(rows: DataFrame, batch: int) -> None:
+        rated = mcc_risk_lookup(rows, risks(rows.sparkSession))
+        scored = scored_record(with_scores(rated, models or default_models(), cfg))
+        scored.write.mode("overwrite").json(f"{path}/batch={batch}")
+
+    writer = features.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    if available_now:
+        writer = writer.trigger(availableNow=True)
+    with stateful_settings(tx.sparkSession):
+        return writer.start()
+
+
 #: Upper bounds, in us, of the stages' histogram; the last one is open.
 BOUNDS_US = (1_000, 5_000, 10_000)
 

@@ -1,14 +1,17 @@
 from dataclasses import replace
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from cardwatch.config import Config
 from cardwatch.functions import features as X
 from cardwatch.functions import scoring as S
-from cardwatch.models import BIAS, LinearModel, default_models, weights_table
+from cardwatch.models import ArrowModel, BIAS, LinearModel, default_models, weights_table
 from cardwatch.operators.features import feature_long
 from cardwatch.operators.linear_long import linear_score_long
+from cardwatch.operators.lookup import mcc_risk_lookup
 from cardwatch.plans.score import score_transactions, with_scores
 from cardwatch.schemas import FEATURES
 
@@ -132,3 +135,57 @@ def test_scored_record_ids(spark):
     )
     ids = [r.trace_id for r in score_transactions(tx).orderBy("arrival_seq").collect()]
     assert ids[1:] == ["a" * 8] * 2 and len(ids[0]) == 36
+
+
+def test_arrow_model_sees_its_route_only(spark):
+    seen, loads = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+    model = MODELS.l2
+
+    def load():
+        loads.add(1)
+
+        def score(rows):
+            seen.add(len(rows))
+            z = model.bias + sum(w * rows[f].to_numpy() for f, w in model.weights)
+            return pa.array(1 / (1 + np.exp(-z)))
+
+        return score
+
+    rows = features(spark, *[k[0] for k in KNOWN] * 30).coalesce(2)
+    want = with_scores(rows, MODELS, CFG).orderBy("id").collect()
+    scored = with_scores(rows, replace(MODELS, l2=ArrowModel("own", load)), CFG)
+    # A filter on the score must not make the model run once more.
+    got = scored.filter("score >= 0").orderBy("id").collect()
+    assert [r.s2 for r in got] == pytest.approx([r.s2 for r in want])
+    assert [(r.route, r.decision) for r in got] == [(r.route, r.decision) for r in want]
+    # The sort reads its input twice, to find ranges.
+    on_route = sum(r.route == "l2" for r in want)
+    assert on_route < len(want) and seen.value in (on_route, 2 * on_route)
+    assert loads.value <= 4
+
+
+def test_arrow_model_null_and_length(spark):
+    rows = features(spark, *[k[0] for k in KNOWN])
+    nulls = ArrowModel("nulls", lambda: lambda rows: pa.nulls(len(rows), pa.float64()))
+    got = with_scores(rows, replace(MODELS, l2=nulls), CFG).filter("route = 'l2'").collect()
+    assert got and all(np.isnan(r.score) and r.decision == "allow" for r in got)
+    short = ArrowModel("short", lambda: lambda rows: pa.array([0.5]))
+    with pytest.raises(Exception, match="short: 1 scores for 4 rows"):
+        with_scores(rows.coalesce(1), replace(MODELS, l2=short), CFG).collect()
+
+
+@pytest.mark.parametrize("broadcast_codes", [100, 1])
+def test_mcc_risk_lookup(spark, broadcast_codes):
+    tx = spark.createDataFrame(
+        [(i, m, 9.0) for i, m in enumerate([1, 1, 2, 3, None] + [4] * 200)], "id int, mcc int, mcc_risk double"
+    )
+    risks = spark.createDataFrame(
+        [(1, 0.5), (1, 0.7), (2, None), (None, 0.9), (4, 0.0)], "mcc int, risk double"
+    )
+    rated = mcc_risk_lookup(tx, risks, broadcast_codes=broadcast_codes)
+    assert rated.columns == ["id", "mcc", "mcc_risk"]
+    got = [r.mcc_risk for r in rated.orderBy("id").collect()]
+    assert got == [0.7, 0.7, 0.2, 0.2, 0.2] + [0.0] * 200
+    plan = rated._jdf.queryExecution().optimizedPlan().toString()
+    assert ("strategy=broadcast" in plan) == (broadcast_codes == 100)
+    assert mcc_risk_lookup(tx, risks.limit(0), broadcast_codes=broadcast_codes).filter("mcc_risk = 0.2").count() == 205

@@ -176,3 +176,34 @@ def test_idle_timeout_and_clamp_are_options(spark, tmp_path):
     query.awaitTermination(15)
     query.stop()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+
+
+def test_risk_table_is_read_anew_each_micro_batch(spark, tmp_path):
+    rnd, source = random.Random(9), tmp_path / "in"
+    source.mkdir()
+    lines = [
+        {"arrival_seq": i, "value": json.dumps(request(rnd, i, 1_700_000_000_000 + 100 * i) | {"mcc": 1 + i % 2})}
+        for i in range(40)
+    ]
+    tables = {}
+
+    def risks(session):
+        # The first micro-batch opens one table, all later ones another.
+        tables[len(tables)] = None
+        return session.createDataFrame([(1, 0.25 if len(tables) == 1 else 0.75)], "mcc int, risk double")
+
+    def run():
+        valid, _ = dead_letter_split(score.read_requests(spark, str(source)))
+        query = score.start_scoring(
+            valid, risks, str(tmp_path / "out"), str(tmp_path / "state"), available_now=True
+        )
+        query.awaitTermination()
+
+    found = []
+    for number, part in enumerate((lines[:20], lines[20:])):
+        write(source, number, part)
+        run()
+        rows = spark.read.json(str(tmp_path / "out" / f"batch={number}")).collect()
+        items = [{i.signal: i.value for i in r.reason}["mcc_risk"] for r in rows]
+        found.append((len(rows), set(items)))
+    assert found == [(20, {0.25, 0.2}), (20, {0.75, 0.2})]
