@@ -273,8 +273,14 @@ def n_hit(out: str = "contamination") -> Column:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """Documents without any window of the benchmark, with their own columns."""
+    """Documents without any window of the benchmark, with their own columns.
+
+    options and cases as in `with_contamination`: a null or empty text holds no window and
+    stays, so do all documents if the benchmark is empty. Columns of any name stay as they are.
+    """
     out = "_contamination"
+    while out in docs.columns:
+        out = f"_{out}"
     marked = with_contamination(docs, benchmark, out=out, **options)
     return marked.filter(F.size(F.col(out)["items"]) == 0).select(*[f"`{c}`" for c in docs.columns])
 

@@ -36,6 +36,61 @@ _GRANT = (
     " IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN"
     " CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
 )
+_BSD_ITEMS = (
+    "Redistributions of source code must retain the above copyright notice, this list of"
+    " conditions and the following disclaimer.",
+    "Redistributions in binary form must reproduce the above copyright notice, this list of"
+    " conditions and the following disclaimer in the documentation and/or other materials"
+    " provided with the distribution.",
+    "Neither the name of the copyright holder nor the names of its contributors may be used to"
+    " endorse or promote products derived from this software without specific prior written"
+    " permission.",
+)
+_BSD_DISCLAIMER = (
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY"
+    " EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF"
+    " MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL"
+    " THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL,"
+    " SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT"
+    " OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION)"
+    " HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR"
+    " TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS"
+    " SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+
+
+def _bsd(clauses: int) -> tuple[str, str]:
+    """The text with numbered items, and with bullets, which are no words."""
+    first = (
+        "Redistribution and use in source and binary forms, with or without modification, are"
+        " permitted provided that the following conditions are met:"
+    )
+    items = _BSD_ITEMS[:clauses]
+    numbers = [f"{k}. {item}" for k, item in enumerate(items, 1)]
+    return (
+        " ".join((first, *numbers, _BSD_DISCLAIMER)),
+        " ".join((first, *items, _BSD_DISCLAIMER)),
+    )
+
+
+#: Title lines, in canonical form, that a licence file may have above its text; fixed values.
+TITLES = (
+    "mit license",
+    "the mit license",
+    "mit license mit",
+    "the mit license mit",
+    "isc license",
+    "the isc license",
+    "bsd zero clause license",
+    "zero clause bsd",
+    "bsd 2 clause license",
+    "the 2 clause bsd license",
+    "bsd 3 clause license",
+    "the 3 clause bsd license",
+    "zlib license",
+    "the zlib license",
+)
+
 #: Public licence texts and notices; fixed values.
 KNOWN = {
     "MIT": (
@@ -67,7 +122,43 @@ KNOWN = {
         " or without fee is hereby granted. " + _GRANT,
         "SPDX-License-Identifier: 0BSD",
     ),
+    "BSD-2-Clause": (
+        *_bsd(2),
+        "Licensed under the BSD 2-Clause License.",
+        "SPDX-License-Identifier: BSD-2-Clause",
+    ),
+    "BSD-3-Clause": (
+        *_bsd(3),
+        "Licensed under the BSD 3-Clause License.",
+        "SPDX-License-Identifier: BSD-3-Clause",
+    ),
+    "Zlib": (
+        "This software is provided 'as-is', without any express or implied warranty. In no"
+        " event will the authors be held liable for any damages arising from the use of this"
+        " software. Permission is granted to anyone to use this software for any purpose,"
+        " including commercial applications, and to alter it and redistribute it freely,"
+        " subject to the following restrictions: 1. The origin of this software must not be"
+        " misrepresented; you must not claim that you wrote the original software. If you use"
+        " this software in a product, an acknowledgment in the product documentation would be"
+        " appreciated but is not required. 2. Altered source versions must be plainly marked as"
+        " such, and must not be misrepresented as being the original software. 3. This notice"
+        " may not be removed or altered from any source distribution.",
+        "SPDX-License-Identifier: Zlib",
+    ),
+    "MPL-2.0": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."
+        " If a copy of the MPL was not distributed with this file, You can obtain one at"
+        " https://mozilla.org/MPL/2.0/.",
+        "SPDX-License-Identifier: MPL-2.0",
+    ),
     "Apache-2.0": (
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this"
+        " file except in compliance with the License. You may obtain a copy of the License at"
+        " http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed"
+        " to in writing, software distributed under the License is distributed on an \"AS IS\""
+        " BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See"
+        " the License for the specific language governing permissions and limitations under the"
+        " License.",
         "Licensed under the Apache License, Version 2.0.",
         "Released under the Apache License, Version 2.0.",
         "SPDX-License-Identifier: Apache-2.0",
@@ -94,12 +185,14 @@ def known_licenses(spark: SparkSession) -> DataFrame:
 def canonical_line(line: Column) -> Column:
     """Lower case, words only, equivalent spellings as one; empty for a copyright line."""
     low = F.lower(line)
+    # A copyright mark needs no year; the bare word does, as licence texts begin lines with it.
+    marked = low.rlike("^[^\\p{L}\\p{N}©]*(copyright[\\s:,]*(\\(c\\)|©)|©)")
     notice = low.rlike("^[^\\p{L}\\p{N}©]*(copyright|\\(c\\)|©)[\\s:,©(]*(c\\)|©)?\\s*[0-9]")
     rights = low.rlike("^[^\\p{L}\\p{N}]*all rights reserved[^\\p{L}\\p{N}]*$")
     plain = F.concat(F.lit(" "), F.regexp_replace(low, "[^\\p{L}\\p{N}]+", " "), F.lit(" "))
     for other, one in EQUIVALENT.items():
         plain = F.replace(plain, F.lit(f" {other} "), F.lit(f" {one} "))
-    return F.when(notice | rights, "").otherwise(F.trim(plain))
+    return F.when(marked | notice | rights, "").otherwise(F.trim(plain))
 
 
 def canonical_lines(text: Column) -> Column:
@@ -109,7 +202,9 @@ def canonical_lines(text: Column) -> Column:
 
 
 def digest(lines: Column) -> Column:
-    return F.sha2(F.array_join(lines, " "), 256)
+    """Digest of a whole text; title lines above a licence make no other licence of it."""
+    words = F.filter(lines, lambda x: ~x.isin(*TITLES))
+    return F.sha2(F.array_join(words, " "), 256)
 
 
 def scan_licenses(
@@ -124,7 +219,10 @@ def scan_licenses(
     or notice a single line is).
 
     Canonical: lower case, punctuation and white space as one space, copyright lines and
-    "all rights reserved" lines left out, equivalent spellings made the same. licenses:
+    "all rights reserved" lines left out, equivalent spellings made the same. A copyright
+    line has a mark, as in `(c)`, or a year. Lines that are nothing but a licence's title
+    (TITLES) are left out of the whole text, not of the single lines. A notice that is wrapped
+    over several lines is found only where it is the whole text. licenses:
     (license_id, text); the built-in table if none. Of licences with the same canonical
     text the smallest id counts. A text without words matches nothing.
 

@@ -1,6 +1,6 @@
 """SQL for DuckDB that gives the rows of a registered query."""
 
-from cardwatch.llm.licenses import EQUIVALENT, KNOWN
+from cardwatch.llm.licenses import EQUIVALENT, KNOWN, TITLES
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -17,9 +17,11 @@ def _canonical(line: str) -> str:
     for other, one in EQUIVALENT.items():
         plain = f"replace({plain}, ' {other} ', ' {one} ')"
     notice = r"^[^\p{L}\p{N}©]*(copyright|\(c\)|©)[\s:,©(]*(c\)|©)?\s*[0-9]"
+    marked = r"^[^\p{L}\p{N}©]*(copyright[\s:,]*(\(c\)|©)|©)"
     rights = r"^[^\p{L}\p{N}]*all rights reserved[^\p{L}\p{N}]*$"
     return (
-        f"case when regexp_matches(lower({line}), '{notice}')"
+        f"case when regexp_matches(lower({line}), '{marked}')"
+        f" or regexp_matches(lower({line}), '{notice}')"
         f" or regexp_matches(lower({line}), '{rights}') then '' else trim({plain}) end"
     )
 
@@ -29,6 +31,11 @@ def _lines(text: str) -> str:
     return f"list_filter(list_transform({split}, lambda x: {_canonical('x')}), lambda x: x <> '')"
 
 
+def _whole(lines: str) -> str:
+    titles = ", ".join(f"'{t}'" for t in TITLES)
+    return f"array_to_string(list_filter({lines}, lambda x: x not in ({titles})), ' ')"
+
+
 _LICENSES = ", ".join(
     "('{}', '{}')".format(name, text.replace("'", "''")) for name, texts in KNOWN.items() for text in texts
 )
@@ -62,14 +69,14 @@ from parts group by conv_id
 """,
     "op8_license_scan": f"""
 with known as (
-    select sha256(array_to_string(lines, ' ')) as sha, min(license_id) as license
+    select sha256({_whole("lines")}) as sha, min(license_id) as license
     from (select license_id, {_lines("text")} as lines
           from (values {_LICENSES}) as t(license_id, text))
     where len(lines) > 0 group by 1
 ),
 canonical as (select doc_id, {_lines("text")} as lines from documents),
 digests as (
-    select doc_id, lines, sha256(coalesce(array_to_string(lines, ' '), '')) as digest from canonical
+    select doc_id, lines, sha256(coalesce({_whole("lines")}, '')) as digest from canonical
 ),
 single as (
     select doc_id, string_agg(distinct license, ',' order by license) as notices

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from cardwatch.llm.shared import pieces
+from cardwatch.llm.shared import pieces, stage
 from cardwatch.llm.tokens import TokenizerFiles, encoder
 
 #: Bytes of text encoded at a time.
@@ -45,12 +45,12 @@ def length_table(lengths: DataFrame) -> DataFrame:
     Any other limit M between two rows follows from the row below it: documents over M
     are the same, so truncated(M) = truncated(L) + (M - L) * docs_longer.
 
-    The histogram is one row per length. Sums run over blocks of lengths first, then
+    The histogram is one row per length, written once to the shared folder, as it is read
+    twice. Sums run over blocks of lengths first, then
     within a block, so no task sees the whole of a large histogram.
     """
     hist = (
-        lengths.groupBy("n_tokens")
-        .agg(F.count("*").alias("n_docs"))
+        stage(lengths.groupBy("n_tokens").agg(F.count("*").alias("n_docs")), "lengths")
         .withColumn("block", F.floor(F.col("n_tokens") / SPAN))
         .withColumn("mass", F.col("n_docs") * F.col("n_tokens"))
     )

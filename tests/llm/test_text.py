@@ -197,6 +197,32 @@ def test_license_digests(spark):
     assert licenses.scan_licenses(table(spark, rows), none).filter("license_id is not null").isEmpty()
 
 
+def test_usual_licence_files(spark):
+    bsd, bullets = licenses.KNOWN["BSD-3-Clause"][:2]
+    rows = [
+        (1, "The MIT License (MIT)\n\nCopyright (c) Jane Doe\n\n" + MIT.replace(" the ", " the\n")),
+        (2, "MIT License\n\n© Jane Doe and others\n" + MIT),
+        (3, "BSD 3-Clause License\nCopyright 2019, A B.\nAll rights reserved.\n" + bsd),
+        (4, bullets.replace("Redistributions", "\n  * Redistributions")),
+        (5, bsd.replace("may be used", "can be used")),
+        (6, "MIT License"),
+        (7, "Copyright notice and more\n" + MIT),
+    ]
+    got = {r.doc_id: r.license_id for r in licenses.scan_licenses(table(spark, rows)).collect()}
+    assert got == {1: "MIT", 2: "MIT", 3: "BSD-3-Clause", 4: "BSD-3-Clause", 5: None, 6: None, 7: None}
+
+
+def test_decontaminate_keeps_columns_of_its_names(spark):
+    words = " ".join(f"w{i}" for i in range(12))
+    docs = table(spark, [(1, words), (2, "other"), (3, None)]).selectExpr(
+        "*", "doc_id * 10 AS _contamination", "'x' AS __contamination"
+    )
+    bench = spark.createDataFrame([("q", words)], "item_id string, text string")
+    clean = decontam.decontaminate(docs, bench)
+    assert clean.columns == docs.columns
+    assert sorted((r.doc_id, r._contamination) for r in clean.collect()) == [(2, 20), (3, 30)]
+
+
 def contaminated(rows, items, window=10):
     owners = defaultdict(set)
     for name, text in items:
