@@ -163,7 +163,7 @@ def pack(
     end_id: int = 0,
     files: TokenizerFiles = TokenizerFiles(),
     slack: float = 0.005,
-    gap: float = 0.002,
+    gap: float = 0.001,
     rounds: int = 1_500,
 ) -> DataFrame:
     """Pieces of all documents with their place: id_col, start, length, doc_tokens,
@@ -172,9 +172,9 @@ def pack(
     A document is its ids and then `end_id`. It is cut into full pieces of `capacity`,
     which are sequences of their own, and a rest. The rests' length histogram (at most
     `capacity` lengths) is a cutting-stock problem: its linear program over patterns is
-    solved by column generation, until no pattern can better it by more than `gap` or for
-    `rounds` rounds. Patterns are rounded down, what is left (under one sequence for each
-    length) is filled greedily, and pieces take their places by rank within their length.
+    solved by column generation, until it is within `gap` (or one and a half sequences) of
+    a dual bound or for `rounds` rounds. Shares of patterns are rounded, what is left is a
+    program again, and pieces take their places by rank within their length.
     Copies of a pattern that would leave over `slack` of a sequence empty are laid end to
     end instead and cut at sequence ends, which splits a few pieces more; the tail of that
     stream is cut into powers of two. So padding is at most `slack` of the tokens; it is

@@ -3,6 +3,7 @@
 import random
 from collections import Counter
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -10,7 +11,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from cardwatch.llm import decontam, pii, quality, registry
-from cardwatch.llm.cutting_stock import best_pattern, cut
+from cardwatch.llm.cutting_stock import best_limited_pattern, best_pattern, cut, solve_master
 from cardwatch.llm.packing import pack
 from cardwatch.llm.token_counts import token_counts
 from cardwatch.llm.tokens import TokenizerFiles, encoder
@@ -103,6 +104,40 @@ def test_knapsack_is_optimal():
         assert sum(value[n - 1] * k for n, k in counts.items()) == pytest.approx(worth)
 
 
+def test_limited_knapsack_is_optimal():
+    rng = np.random.default_rng(5)
+    for _ in range(20):
+        value, limits = rng.random(5) * np.arange(1, 6), rng.integers(0, 4, 5)
+        best = [0.0] * 21
+        for n, (v, limit) in enumerate(zip(value, limits, strict=True), 1):
+            best = [
+                max(best[room - n * k] + v * k for k in range(limit + 1) if n * k <= room)
+                for room in range(21)
+            ]
+        worth, counts = best_limited_pattern(value, 20, limits)
+        assert worth == pytest.approx(best[20])
+        assert all(k <= limits[n - 1] for n, k in counts.items())
+        assert sum(n * k for n, k in counts.items()) <= 20
+
+
+def test_column_generation_carries_the_packing():
+    """On real lengths the program meets its dual bound before its last round, and patterns
+    within the slack make up most sequences that are not one full piece."""
+    found = duckdb.sql(f"SELECT text FROM '{SF001}/../sf0.01/documents.parquet'").fetchall()
+    _, counts = encoder(TokenizerFiles()).encode([t for (t,) in found])
+    demand = Counter(((counts + 1) % 1024).tolist())
+    del demand[0]
+    needed = sum(n * k for n, k in demand.items()) / 1024
+    tolerance = max(1.5, 0.001 * needed)
+    solved = solve_master(demand, 1024, tolerance, 1_500)
+    assert solved.rounds < 1_500
+    assert needed <= solved.bound <= solved.total <= solved.bound + tolerance
+    patterns = cut(demand, 1024, 0.001, 1_500)
+    tight = [p for p in patterns if sum(n * k for n, k in zip(p.lengths, p.counts, strict=True)) >= 1018]
+    assert sum(p.times for p in tight) > 0.75 * sum(p.times for p in patterns)
+    assert sum(p.times for p in patterns) < 1.01 * needed + 2
+
+
 def test_length_table(spark):
     rows = texts(10)
     lengths = [len(ids_of(t)) for _, t in rows]
