@@ -1,4 +1,4 @@
-"""History features of a stream: one keyed state per user.
+"""History features of a stream: one stored history per user.
 
 State of a user: largest event time, and count and amount per 100 ms bucket within the
 long window, as a map of cells of buckets. Per micro-batch and user the rows are
@@ -11,6 +11,7 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterator
 from contextlib import contextmanager
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -29,6 +30,8 @@ CELL = 1024
 #: Up to so many buckets are kept beside the largest time: one call each way for most users.
 INLINE = 256
 _ENTRY = "bucket array<long>, n array<long>, s array<double>"
+#: Groups of users that the keyed operator is called for, so that a call serves many users.
+SHARDS = 512
 _BLOCK = 256
 
 # Executors get the state function itself and need no installed package.
@@ -109,75 +112,110 @@ def _range_sums(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.n
 
 
 class Keeper(StatefulProcessor):
-    """One user's history as a map of cells; a micro-batch writes the cells that it changed.
+    """The histories of a shard of users; a micro-batch writes the entries that it changed.
 
-    A user's rows of a micro-batch come in arrival order and in pieces, one Arrow batch at a
-    time, so memory holds one piece and one window of buckets, whatever the number of rows.
+    A call for each user would cost more than the work on the user's rows, so Spark groups rows by
+    shard. State stays one entry a user (largest time and up to `INLINE` buckets), and
+    beyond that a map of cells. A shard's rows come by user and arrival and in pieces, one
+    Arrow batch at a time, so memory holds one piece and one user's window of buckets,
+    whatever the number of rows.
     """
 
     def __init__(
         self,
         columns: list[str],
         names: list[str],
+        key: T.StructField,
         order: str,
         settings: tuple[int, int, int, int],
         idle_ms: int | None,
     ):
-        self.columns, self.names, self.order = columns, names, order
+        self.columns, self.names, self.key, self.order = columns, names, key, order
         self.settings, self.idle_ms = settings, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.head = handle.getValueState("head", f"top long, inline boolean, {_ENTRY}")
-        self.cells = handle.getMapState("cells", "cell long", _ENTRY)
+        cell = T.StructField("cell", T.LongType())
+        head = f"top long, seen long, cells array<long>, {_ENTRY}"
+        self.heads = handle.getMapState("heads", T.StructType([self.key]), head)
+        self.cells = handle.getMapState("cells", T.StructType([self.key, cell]), _ENTRY)
 
     def handleInputRows(  # noqa: N802
         self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object  # noqa: N803
     ) -> Iterator[pd.DataFrame]:
-        top, inline, *columns = self.head.get() or (None, True, (), (), ())
-        stored = {} if inline else {cell: entry for (cell,), entry in self.cells.iterator()}
-        if not inline:
-            columns = [[v for cell in sorted(stored) for v in stored[cell][k]] for k in range(3)]
-        history = History(*self.settings, (top, *columns))
-        last = None
+        now = None if self.idle_ms is None else timerValues.getCurrentProcessingTimeInMs()
+        history, stored, last, met = None, {}, None, []
+        closed = set()
         for piece in rows:
             # The planner names a column by what it is an alias of.
             piece.columns = self.columns
             arrival = piece[self.order].to_numpy()
-            if (arrival[1:] < arrival[:-1]).any() or (last is not None and arrival[0] < last):
-                raise ValueError(f"rows of {key} do not come by {self.order}; start the query with start_sink")
-            last = arrival[-1]
-            features = history.ask_and_add(
-                piece["_time"].to_numpy("int64"), piece["amount"].to_numpy("float64")
-            )
+            time = piece["_time"].to_numpy("int64")
+            amount = piece["amount"].to_numpy("float64")
+            codes, users = pd.factorize(piece[self.key.name])
+            features = np.empty((len(piece), len(STORE_FEATURES)))
+            edges = [0, *(np.flatnonzero(np.diff(codes)) + 1).tolist(), len(codes)]
+            for first, end in pairwise(edges):
+                user = self._user(users, codes[first])
+                if met != [user]:
+                    if met:
+                        self._store(met[0], history, stored, now)
+                        closed.add(met[0])
+                    (history, stored), last, met = self._load(user), None, [user]
+                own = arrival[first:end]
+                behind = last is not None and own[0] < last
+                if user in closed or behind or (own[1:] < own[:-1]).any():
+                    raise ValueError(f"rows of {user} do not come by {self.order}; start the query with start_sink")
+                last = own[-1]
+                features[first:end] = history.ask_and_add(time[first:end], amount[first:end])
             yield piece[self.names].assign(**{c: features[:, i] for i, c in enumerate(STORE_FEATURES)})
-        self._store(history, stored)
-        if self.idle_ms is not None:
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
+        if met:
+            self._store(met[0], history, stored, now)
+        if now is not None:
+            self.handle.registerTimer(now + self.idle_ms)
+
+    def _user(self, users: pd.Index, code: int) -> object:
+        """The key as Spark knows it; pandas has no integers beside nulls."""
+        if code < 0:
+            return None
+        user = users[code]
+        user = user.item() if isinstance(user, np.generic) else user
+        return int(user) if isinstance(self.key.dataType, T.IntegralType) else user
+
+    def _load(self, user: object) -> tuple[History, dict[int, tuple]]:
+        """The user's history, and its cells as stored."""
+        top, _, numbers, *columns = self.heads.getValue((user,)) or (None, None, (), (), (), ())
+        stored = {cell: self.cells.getValue((user, cell)) for cell in numbers}
+        if stored:
+            columns = [[v for cell in sorted(stored) for v in stored[cell][k]] for k in range(3)]
+        return History(*self.settings, (top, *columns)), stored
 
-    def _store(self, history: History, stored: dict[int, tuple]) -> None:
+    def _store(self, user: object, history: History, stored: dict[int, tuple], seen: int | None) -> None:
         top, *table = history.as_tuple()
-        inline = len(history.bucket) <= INLINE
-        self.head.update((top, inline, *(table if inline else ([], [], []))))
         now = {}
-        if not inline:
+        if len(history.bucket) > INLINE:
             cell = history.bucket // CELL
             edges = np.flatnonzero(np.diff(cell, prepend=cell[0] - 1)).tolist()
             for first, end in zip(edges, [*edges[1:], len(cell)], strict=True):
                 now[int(cell[first])] = tuple(x[first:end] for x in table)
+            table = [], [], []
+        self.heads.updateValue((user,), (top, seen, list(now), *table))
         for number, entry in now.items():
             if number not in stored or tuple(map(list, stored[number])) != entry:
-                self.cells.updateValue((number,), entry)
+                self.cells.updateValue((user, number), entry)
         for number in stored.keys() - now.keys():
-            self.cells.removeKey((number,))
+            self.cells.removeKey((user, number))
 
     def handleExpiredTimer(  # noqa: N802
         self, key: tuple, timerValues: object, expiredTimerInfo: object  # noqa: N803
     ) -> Iterator[pd.DataFrame]:
-        self.head.clear()
-        self.cells.clear()
+        """Forgets the shard's users who had no row since the timer was set."""
+        end = expiredTimerInfo.getExpiryTimeInMs() - self.idle_ms
+        idle = [(user, head[2]) for (user,), head in self.heads.iterator() if head[1] <= end]
+        for user, numbers in idle:
+            for number in numbers:
+                self.cells.removeKey((user, number))
+            self.heads.removeKey((user,))
         return iter(())
 
     def close(self) -> None:
@@ -197,7 +235,9 @@ def store_features_stream(
     State of a user stays for ever unless `idle_timeout_ms` is given, which
     changes the features of users who come back later than that.
 
-    Spark sorts each task's rows by user and arrival, on disk where they are many. Its check
+    Users are grouped in shards by a hash, their rows sorted by Spark by shard, user and
+    arrival, on disk where they are many. `SHARDS` is part of the stored state: a
+    checkpoint needs the number that it was begun with. Spark's check
     of streaming plans refuses every sort, also this one within a micro-batch, and map state
     needs RocksDB: start the query with `start_sink`, or under `stateful_settings`. Rows out
     of order stop the query.
@@ -207,10 +247,12 @@ def store_features_stream(
     out = T.StructType(
         [*tx.schema.fields, *[T.StructField(c, T.DoubleType()) for c in STORE_FEATURES]]
     )
-    keeper = Keeper(events.columns, tx.columns, order, settings, idle_timeout_ms)
+    shard = "_shard"
+    events = events.withColumn(shard, F.pmod(F.xxhash64(key), F.lit(SHARDS)).cast("int"))
+    keeper = Keeper(events.columns, tx.columns, tx.schema[key], order, settings, idle_timeout_ms)
     mode = "none" if idle_timeout_ms is None else "processingTime"
-    ordered = events.repartition(key).sortWithinPartitions(key, order)
-    return ordered.groupBy(key).transformWithStateInPandas(keeper, out, "append", mode)
+    ordered = events.repartition(shard).sortWithinPartitions(shard, key, order)
+    return ordered.groupBy(shard).transformWithStateInPandas(keeper, out, "append", mode)
 
 
 @contextmanager
@@ -236,8 +278,10 @@ def stored_buckets(spark: SparkSession, checkpoint: str) -> DataFrame:
     """What a stopped stream has in its state: a row for each user and bucket, with count and
     amount of the accepted rows."""
     read = spark.read.format("statestore")
-    inline = read.option("stateVarName", "head").load(checkpoint).select("key.*", "value.*")
-    cells = read.option("stateVarName", "cells").load(checkpoint).select("key.*", "user_map_value.*")
-    every = inline.drop("top", "inline").unionByName(cells)
+    inline, cells = (
+        read.option("stateVarName", name).load(checkpoint).select("user_map_key.*", "user_map_value.*")
+        for name in ("heads", "cells")
+    )
+    every = inline.drop("top", "seen", "cells").unionByName(cells.drop("cell"))
     entry = F.arrays_zip("bucket", "n", "s")
     return every.select(*every.columns[:-3], F.inline(entry).alias("bucket", "cnt", "amount_sum"))
