@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from cardwatch.config import Config
 from cardwatch.functions import features as X
 from cardwatch.operators.ranks import with_positions
+from cardwatch.operators.spread import spread
 
 # Working columns next to the caller's own.
 WORK = ("_segment", "_time", "_low", "_bucket", "_n", "_sum", "_real")
@@ -28,6 +29,8 @@ class Users(NamedTuple):
     dense: DataFrame | None
     #: There are too many to list: the dense way serves everybody.
     all_dense: bool = False
+    #: Rows of all users.
+    rows: int = 0
 
 
 def unusual_users(events: DataFrame, cfg: Config, key: str = "user_id") -> Users:
@@ -44,15 +47,16 @@ def unusual_users(events: DataFrame, cfg: Config, key: str = "user_id") -> Users
     )
     found = found.filter("heavy OR dense")
     listed = found.limit(cfg.heavy_listed + 1).collect()
+    total = events.count()
     if len(listed) > cfg.heavy_listed:
-        return Users(found.filter("heavy").select(key), None, True)
+        return Users(found.filter("heavy").select(key), None, True, total)
 
     def of(kind: str) -> DataFrame | None:
         own = [(r[key],) for r in listed if r[kind] and r[key] is not None]
         schema = found.select(key).schema
         return F.broadcast(events.sparkSession.createDataFrame(own, schema)) if own else None
 
-    return Users(of("heavy"), of("dense"))
+    return Users(of("heavy"), of("dense"), rows=total)
 
 
 def arrivals(tx: DataFrame, cfg: Config) -> DataFrame:
@@ -109,12 +113,13 @@ def segmented(
     rows get their place in arrival order from ranges, whatever the numbers are, and are
     written once to the shared folder; a segment is `cfg.segment_rows` places. With heavy
     users the input is read four times: for the counts, for the ranges, and the rows of
-    heavy and of other users; without, twice.
+    heavy and of other users; without, twice. All rows are counted besides, without columns:
+    where they ask for more tasks than shuffles have anyway, they get them.
     """
     events = arrivals(tx, cfg)
     users = unusual_users(events, cfg, key)
     if users.heavy is None:
-        return events, users
+        return spread(events, users.rows, key), users
 
     light = events.join(users.heavy, key, "left_anti")
     hot = events.join(users.heavy, key, "left_semi").drop("_segment")
@@ -123,9 +128,10 @@ def segmented(
 
     starts = _time_seeds(hot, key)
     seeds = starts.unionByName(
-        _bucket_seeds(hot, starts, cfg, key, order), allowMissingColumns=True
+        _bucket_seeds(hot, starts, cfg, key, order, users.rows), allowMissingColumns=True
     ).withColumn("_real", F.lit(False))
-    return light.unionByName(hot).unionByName(seeds, allowMissingColumns=True), users
+    rows = light.unionByName(hot).unionByName(seeds, allowMissingColumns=True)
+    return spread(rows, users.rows, key, "_segment"), users
 
 
 def _time_seeds(hot: DataFrame, key: str) -> DataFrame:
@@ -147,7 +153,7 @@ def _time_seeds(hot: DataFrame, key: str) -> DataFrame:
 
 
 def _bucket_seeds(
-    hot: DataFrame, starts: DataFrame, cfg: Config, key: str, order: str
+    hot: DataFrame, starts: DataFrame, cfg: Config, key: str, order: str, rows: int
 ) -> DataFrame:
     """Accepted count and sum per bucket before each segment.
 
@@ -155,6 +161,7 @@ def _bucket_seeds(
     (user, bucket) and listed only for the segments that can still see the bucket.
     """
     seeded = hot.select(key, order, *WORK).unionByName(starts, allowMissingColumns=True)
+    seeded = spread(seeded, rows, key, "_segment")
     held = (
         with_lateness_columns(seeded, cfg, key, order)
         .filter("_held")
@@ -180,7 +187,8 @@ def _bucket_seeds(
     ordered = Window.partitionBy(key, "_bucket").orderBy("_segment")
     totals = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (
-        held.select(
+        spread(held, rows, key, "_bucket")
+        .select(
             key,
             "_bucket",
             cell.alias("cell"),
