@@ -207,7 +207,8 @@ def linear(spark, d):
 
 def linear_long(spark, d):
     long = feature_long(_features(spark, d), "arrival_seq")
-    scores = linear_score_long(long, weights_table(spark, MODELS), ["arrival_seq"])
+    rows = _events(spark, d).count()
+    scores = linear_score_long(long, weights_table(spark, MODELS), ["arrival_seq"], rows)
     return scores.withColumn("score", F.round("score", 6))
 
 

@@ -6,7 +6,9 @@ from dataclasses import replace
 import pytest
 
 from cardwatch.config import Config
+from cardwatch.models import default_models, weights_table
 from cardwatch.operators import spread
+from cardwatch.operators.linear_long import linear_score_long
 from cardwatch.operators.segments import segmented
 from cardwatch.operators.windows import STORE_FEATURES, store_features
 from tests.model import history_features
@@ -34,3 +36,15 @@ def test_windows(spark, monkeypatch, heavy_rows):
     for r in store_features(tx, cfg).collect():
         assert tuple(r[c] for c in STORE_FEATURES) == pytest.approx(want[r.user_id, r.arrival_seq], abs=1e-6)
     assert segmented(tx.limit(0), cfg)[1].rows == 0
+
+
+def test_linear_scores(spark, monkeypatch):
+    monkeypatch.setattr(spread, "TASK_ROWS", 10)
+    names = ("amount_log", "mcc_risk", "is_3ds", "none")
+    rows = [(i, n, k / 3 + i % 5) for i in range(300) for k, n in enumerate(names)]
+    long = spark.createDataFrame(rows, "id long, name string, value double")
+    weights = weights_table(spark, default_models())
+    many = linear_score_long(long, weights, ["id"], 300)
+    assert exchanges(many, 30) == 1
+    few = {(r.id, r.model): r.score for r in linear_score_long(long, weights, ["id"]).collect()}
+    assert {(r.id, r.model): r.score for r in many.collect()} == pytest.approx(few) and len(few) == 600
