@@ -18,7 +18,8 @@ def components(links: DataFrame) -> DataFrame:
     Large-star and small-star steps in turn: each node hangs its neighbours on the
     smallest of them, until every component is a star. Each step is one aggregation and
     one join on a node, whose other side is one row per node; each round is written to
-    the shared folder. Rounds grow with the logarithm of a component's size.
+    the shared folder. Rounds grow with the logarithm of a component's size. No side is
+    broadcast: written links are small files but many times that in a driver's memory.
     """
     edges = links.filter("u <> v").select(
         F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")
@@ -29,10 +30,10 @@ def components(links: DataFrame) -> DataFrame:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("low"))
         low = low.select("u", F.least("u", "low").alias("low"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("low").alias("v"))
+        large = both.join(low.hint("merge"), "u").filter("v > u").select(F.col("v").alias("u"), F.col("low").alias("v"))
         large = stage(large.distinct(), "large-star")
         low = large.groupBy("u").agg(F.min("v").alias("low"))
-        hung = large.join(low, "u").filter("v <> low").select(F.col("v").alias("u"), F.col("low").alias("v"))
+        hung = large.join(low.hint("merge"), "u").filter("v <> low").select(F.col("v").alias("u"), F.col("low").alias("v"))
         edges = stage(hung.union(low.select("u", F.col("low").alias("v"))).distinct(), "small-star")
         after = _digest(edges)
         if after == before:

@@ -5,7 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from cardwatch.llm import jaccard
+from cardwatch.llm import components, jaccard, shared
 from tests.conftest import SF001
 from tests.llm.samples import prose, table, texts
 
@@ -134,3 +134,24 @@ def test_repeated_and_null_ids_keep_one_row_each_component(spark):
     kept = jaccard.drop_similar(table(spark, rows))
     assert kept.columns == table(spark, []).columns
     assert kept.count() == len(kept_by_brute_force([(k, t) for k, (_, t) in enumerate(rows)]))
+
+
+@pytest.mark.parametrize("listed", [1, 16])
+def test_no_side_passes_through_the_driver(spark, monkeypatch, listed):
+    plans, write = [], shared.stage
+
+    def planned(df, name):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return write(df, name)
+
+    for module in (jaccard, components):
+        monkeypatch.setattr(module, "stage", planned)
+    monkeypatch.setattr(jaccard, "LISTED", listed)
+    rng = random.Random(26)
+    text = " ".join(f"t{rng.randrange(10**6)}" for _ in range(150))
+    rows = [(k, edited(rng, text, rng.randint(0, 9))) for k in range(60)]
+    got = jaccard.drop_similar(table(spark, rows))
+    plans.append(("result", got._jdf.queryExecution().executedPlan().toString()))
+    assert sorted(r.doc_id for r in got.collect()) == kept_by_brute_force(rows)
+    assert {"open-bands", "candidates", "similar", "large-star", "small-star", "linked"} <= {n for n, _ in plans}
+    assert [n for n, plan in plans if "Broadcast" in plan] == []
