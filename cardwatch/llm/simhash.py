@@ -18,19 +18,25 @@ BITS = 64
 BUCKET = 200
 
 
-def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
-    """64-bit hashes of a text's shingles of words, in order; fewer words are one shingle."""
+def shingles(text: str | None, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes and bytes of a text's shingles of words, in order; fewer words are one."""
     words = (text or "").encode().lower().split()
     if not words:
-        return np.zeros(0, "<u8")
+        return np.zeros(0, "<u8"), np.zeros(0, np.int64)
     flat = b" ".join(words)
     spaces = np.flatnonzero(np.frombuffer(flat, np.uint8) == 32)
     starts = np.append(0, spaces + 1)
     ends = np.append(spaces, len(flat))
     size = min(shingle, len(words))
-    spans = zip(starts[: len(words) - size + 1].tolist(), ends[size - 1 :].tolist(), strict=True)
+    starts, ends = starts[: len(words) - size + 1], ends[size - 1 :]
+    spans = zip(starts.tolist(), ends.tolist(), strict=True)
     digest = xxhash.xxh64_intdigest
-    return np.array([digest(flat[a:b], 42) for a, b in spans], "<u8")
+    return np.array([digest(flat[a:b], 42) for a, b in spans], "<u8"), ends - starts
+
+
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """The hashes of `shingles`."""
+    return shingles(text, shingle)[0]
 
 
 def fingerprint_bytes(text: str | None, shingle: int) -> bytes:

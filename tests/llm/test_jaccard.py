@@ -2,10 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
-from cardwatch.llm import components, jaccard, shared
+from cardwatch.llm import components, jaccard, shared, simhash
 from tests.conftest import SF001
 from tests.llm.samples import prose, table, texts
 
@@ -155,3 +156,50 @@ def test_no_side_passes_through_the_driver(spark, monkeypatch, listed):
     assert sorted(r.doc_id for r in got.collect()) == kept_by_brute_force(rows)
     assert {"open-bands", "candidates", "similar", "large-star", "small-star", "linked"} <= {n for n, _ in plans}
     assert [n for n, plan in plans if "Broadcast" in plan] == []
+
+
+#: Texts of nine words; the first eight alone have four of five shingles, but no band in common.
+MISSED = [
+    "t877753 t181631 t89947 t729689 t261012 t4126 t182018 t241140 t183013",
+    "t391506 t302022 t159688 t381184 t47993 t979038 t261520 t304964 t547619",
+    "t342628 t129535 t61546 t753906 t311836 t812100 t470496 t668907 t646507",
+]
+
+
+@pytest.mark.parametrize("paired", [1, 64])
+def test_similar_texts_without_a_common_band_are_linked(spark, monkeypatch, paired):
+    monkeypatch.setattr(jaccard, "PAIRED", paired)
+    rows = [(2 * k, text) for k, text in enumerate(MISSED)]
+    rows += [(2 * k + 1, text.rsplit(" ", 1)[0]) for k, text in enumerate(MISSED)]
+    bands = {k: set(jaccard.describe(t, 5)["bands"]) for k, t in rows}
+    assert not any(bands[2 * k] & bands[2 * k + 1] for k in range(len(MISSED)))
+    got = jaccard.drop_similar(table(spark, rows))
+    assert sorted(r.doc_id for r in got.collect()) == kept_by_brute_force(rows) == [0, 2, 4]
+
+
+def test_links_far_below_the_bands_similarity_are_found(spark):
+    rng, rows = random.Random(27), []
+    for _ in range(40):
+        text = " ".join(f"t{rng.randrange(10**6)}" for _ in range(60))
+        rows += [text, edited(rng, text, rng.randint(4, 9))]
+    close = [similarity(shingles(a), shingles(b)) >= 0.3 for a, b in zip(rows[::2], rows[1::2], strict=True)]
+    assert 10 < sum(close) < 40
+    got = jaccard.drop_similar(table(spark, list(enumerate(rows))), similarity=0.3)
+    assert got.count() == len(rows) - sum(close)
+
+
+def test_prefixes_of_similar_sets_meet_where_enough_is_left():
+    rng, close = random.Random(28), 0
+    while close < 300:
+        text = " ".join(f"t{rng.randrange(10 ** rng.randint(2, 6))}" for _ in range(rng.randint(5, 120)))
+        other = edited(rng, text, rng.randint(0, 3)) if rng.random() < 0.5 else text.rsplit(" ", rng.randint(1, 3))[0]
+        if similarity(shingles(text), shingles(other)) < 0.8:
+            continue
+        close += 1
+        own = simhash.shingle_hashes(text, 5)
+        some = np.unique(rng.sample(own.tolist(), rng.randint(0, len(own)))).astype(np.uint64)
+        a, b = (jaccard.describe(t, 5, 0.8, some) for t in (text, other))
+        i, j = next((i, b["prefix"].index(h)) for i, h in enumerate(a["prefix"]) if h in b["prefix"])
+        assert min(a["size"] - i, b["size"] - j) >= 0.8 / 1.8 * (a["size"] + b["size"]) - 1e-6
+        apart = sum(((x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(a["parities"], b["parities"], strict=True))
+        assert apart <= 0.2 / 1.8 * (a["size"] + b["size"]) + 1e-6
